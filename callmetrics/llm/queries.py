@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import decontamination, language, mixing, ngram_join, packing, quality, sharding, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.query,
+    "op2_sharding": sharding.query,
+    "op3_mixing": mixing.query,
     "op4_packing": packing.query,
+    "op5_decontamination": decontamination.query,
+    "op6_url_filter": url_filter.query,
+    "op7_ngram_join": ngram_join.query,
+    "op8_token_counts": token_counts.query,
+    "op9_quality": quality.query,
+    "op10_language": language.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": decontamination.ORACLE_SQL,
+    "op7_ngram_join": ngram_join.ORACLE_SQL,
+    "op9_quality": quality.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
