@@ -1,0 +1 @@
+"""Recorded-call analytics as Spark DataFrame operators."""

@@ -1,0 +1 @@
+"""Registered queries over the driver's tables, each with the same query in DuckDB SQL."""

@@ -1,0 +1 @@
+"""Reading call records, recordings, events and declarations; writing outcomes."""

@@ -1,0 +1,176 @@
+"""Structured Streaming: ingest, analysis, retries, completeness and rates."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..functions import backoff_seconds
+from ..operators.accounting import rates
+from ..operators.delivery import KEY, claim_checked, dead_letter_rows, failed_results, latest, routed
+from ..sources.records import canonical_gate, decoded, fetched, hydrated, streaminfo
+
+
+def kafka_messages(spark: SparkSession, servers: str, topic: str, per_batch: int = 100_000) -> DataFrame:
+    """Messages of a topic from its beginning, headers included; raw is the value."""
+    kafka = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest")
+    return kafka.option("includeHeaders", True).option("maxOffsetsPerTrigger", per_batch).load().withColumn("raw", F.col("value"))
+
+
+def file_messages(spark: SparkSession, path: str, schema: str, per_batch: int = 1000) -> DataFrame:
+    """The same from Parquet files that arrive in a folder."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
+def overwrite_latest(batch: DataFrame, path: str, key: list[str], order: list[str]) -> None:
+    """Adds a batch to a keyed table. Readers take the latest row of each key (`latest`), so a batch that is written twice changes nothing."""
+    latest(batch, key, order).write.mode("append").parquet(path)
+
+
+def hydration(messages: DataFrame, recordings: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+    """Ingest of call records: recordings are stored before the references that point to them, failures go to the hydrator's dead letters."""
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        records = fetched(decoded(batch), recordings)
+        bad = F.col("error_code").isNotNull()
+        checked = records.filter(~bad).drop("error_code").withColumns(streaminfo())
+        checked = canonical_gate(checked).persist()
+        try:
+            good = checked.filter("error_code IS NULL")
+            good.select("call_id", F.concat("call_id", F.lit(".flac")).alias("object_key"), "content").write.mode("append").parquet(f"{out}/objects")
+            hydrated(good).write.mode("append").parquet(f"{out}/references")
+            lost = records.filter(bad).select("raw", "call_id", "error_code").unionByName(checked.filter("error_code IS NOT NULL").select("raw", "call_id", "error_code"))
+            lost.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{out}/hydration_failures")
+        finally:
+            checked.unpersist()
+
+    return messages.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+
+
+def analysis(outcomes: DataFrame, out: str, checkpoint: str, function: str, version: str) -> DataStreamWriter:
+    """Outcomes of one function and version to results, large payloads, retries and dead letters; each has its own checkpoint, and so its own place in the stream.
+
+    Outcomes have the columns of results and retry_budget, retry_backoff_seconds, retry_backoff_max_seconds, key, body,
+    source_topic, source_partition, source_offset, failed_at.
+    """
+
+    def route(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            done = claim_checked(batch.filter("status <> 'FAILED'"))
+            done.filter("large_payload IS NOT NULL").select("payload_ref", "large_payload").write.mode("append").parquet(f"{out}/large_payloads")
+            failures = routed(batch.filter("status = 'FAILED'").withColumn("retryable", F.col("error.retryable")))
+            dead = failures.filter("route = 'DLQ'")
+            columns = [*KEY, "status", "error", "input_object_key", "attempt"]
+            lasting = failed_results(dead).select(*columns)
+            done.select(*columns, "payload", "payload_ref").unionByName(lasting, allowMissingColumns=True).withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{out}/results")
+            dead_letter_rows(dead).write.mode("append").partitionBy("function_id").parquet(f"{out}/dead_letters")
+            retry_rows(failures.filter("route = 'RETRY'")).write.mode("append").parquet(f"{out}/retry_queue")
+        finally:
+            batch.unpersist()
+
+    return outcomes.writeStream.foreachBatch(route).option("checkpointLocation", f"{checkpoint}/{function}/{version}")
+
+
+def retry_rows(failures: DataFrame) -> DataFrame:
+    """Failures that are to be run again: next attempt, and when it is due."""
+    delay = backoff_seconds(F.col("attempt"), F.col("retry_backoff_seconds"), F.col("retry_backoff_max_seconds"))
+    return failures.select(*KEY, (F.col("attempt") + 1).alias("attempt"), delay.alias("delay_seconds"), (F.col("failed_at").cast("double") + delay).cast("timestamp").alias("due_at"))
+
+
+def due(queue: DataFrame, now) -> DataFrame:
+    """Retries whose time has come."""
+    return queue.filter(F.col("due_at") <= now)
+
+
+def deduplicated(results: DataFrame, within: str = "48 hours") -> DataFrame:
+    """The first result of each call, function and version within a time span, on a stream with `completed_at`."""
+    return results.withWatermark("completed_at", within).dropDuplicatesWithinWatermark(KEY)
+
+
+def windowed_rates(events: DataFrame, every: str = "5 minutes", slide: str | None = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """Rates of a stream of events, with late ones counted for a while."""
+    return rates(events.withWatermark("at", late), every, slide)
+
+
+class _Completeness(StatefulProcessor):
+    """Per call the functions that have answered; one marker, when all have or when time is up."""
+
+    def __init__(self, expected: list[str], timeout_ms: int):
+        self.expected, self.timeout_ms = set(expected), timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.answers = handle.getMapState("answers", "function_id string", "status string")
+        self.done = handle.getValueState("done", "emitted boolean")
+
+    def _marker(self, key, how: str) -> pd.DataFrame:
+        seen = {k[0] for k in self.answers.keys()}
+        return pd.DataFrame({"call_id": [key[0]], "marker": [how], "answered": [len(seen & self.expected)], "missing": [",".join(sorted(self.expected - seen))]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        closed, first = self.done.exists(), not self.done.exists() and not any(True for _ in self.answers.keys())
+        unhydrated = False
+        for pdf in rows:
+            for function, status in zip(pdf["function_id"], pdf["status"], strict=True):
+                if status == "UNHYDRATED":
+                    unhydrated = True
+                elif not closed:
+                    self.answers.updateValue((function,), (status,))
+        if closed:
+            return
+        if unhydrated or self.expected <= {k[0] for k in self.answers.keys()}:
+            yield self._marker(key, "unhydrated" if unhydrated else "complete")
+            self.done.update((True,))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        elif first:
+            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.timeout_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.done.exists():
+            yield self._marker(key, "timeout")
+            self.done.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def completeness(answers: DataFrame, expected: list[str], timeout_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """One marker a call on a stream of answers (call_id, function_id, status, at): complete, timeout or unhydrated.
+
+    `expected` are the active functions, configuration. A status of UNHYDRATED closes a call whose recording never came.
+    Needs the RocksDB state store.
+    """
+    stream = answers.select("call_id", "function_id", "status", "at").withWatermark("at", late).groupBy("call_id")
+    return stream.transformWithStateInPandas(_Completeness(expected, timeout_seconds * 1000), "call_id string, marker string, answered long, missing string", "append", "EventTime")
+
+
+def run_available(writer: DataStreamWriter) -> None:
+    """Runs a stream over all that is there, and ends."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def backfill(spark: SparkSession, path: str, schema: str, analyze: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 100) -> None:
+    """A new version of a function over history, at its own pace and with its own checkpoint."""
+    stream = file_messages(spark, path, schema, files_per_batch)
+    run_available(stream.writeStream.foreachBatch(lambda batch, _: analyze(batch).write.mode("append").parquet(out)).option("checkpointLocation", checkpoint))
+
+
+def chain_depth(edges: DataFrame, most: int = 5) -> DataFrame:
+    """Depth of each function in the graph of who consumes whose results (upstream, downstream); more than `most` levels, or a cycle, is an error.
+
+    Levels come from joins over the declared edges, which are configuration.
+    """
+    level = edges.select(F.col("upstream").alias("function_id")).subtract(edges.select("downstream")).withColumn("depth", F.lit(1))
+    found = level
+    for depth in range(2, most + 2):
+        level = level.join(edges, level["function_id"] == edges["upstream"]).select(F.col("downstream").alias("function_id"), F.lit(depth).alias("depth")).distinct()
+        found = found.unionByName(level)
+    out = found.groupBy("function_id").agg(F.max("depth").alias("depth"))
+    return out.withColumn("allowed", F.col("depth") <= most)
