@@ -11,12 +11,14 @@ for itself; columns other than the two named are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel as K
 
@@ -98,6 +100,25 @@ def ledger(docs: DataFrame, rules: dict[str, str] = RULES, *, id_column: str = "
     return rows.withColumn("failed", mask)
 
 
+def passing(docs: DataFrame, policy: tuple[str, ...], rules: dict[str, str] = RULES, *, text_column: str = "text") -> DataFrame:
+    """The documents, all columns, that pass a policy. The measurements go along with the rows, so nothing is joined."""
+    names = [f"_measure_{m}" for m in MEASURES]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_column)
+            for s in K.slices(batch, at):
+                found = measure(K.texts(s.column(at)))
+                yield pa.RecordBatch.from_arrays([*s.columns, *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], names=[*s.schema.names, *names])
+
+    wide = docs.mapInArrow(rows, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+    bad = F.lit(False)
+    for rule in policy:
+        condition = re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"_measure_\1", rules[rule])
+        bad = bad | F.expr(condition)
+    return wide.filter(~bad).drop(*names)
+
+
 def mask(policy: tuple[str, ...], rules: dict[str, str] = RULES) -> int:
     """The policy's mask."""
     return sum(1 << list(rules).index(name) for name in policy)
