@@ -30,7 +30,7 @@ _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 RULES = {
     "too_short": "n_words < 20",
     "repeats_itself": "100 * n_repeat_words > 30 * n_words",
-    "symbols_for_words": "2 * n_symbols > n_words",
+    "symbols_for_words": "10 * n_symbols > n_words",
     "lines_again": "n_lines >= 4 AND 2 * n_dup_lines > n_lines",
     "long_words": "word_chars > 20 * n_words",
     "short_words": "word_chars < 2 * n_words",
@@ -180,7 +180,7 @@ WITH d AS (
 ), b AS (
   SELECT *, CAST(
       CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
-    + CASE WHEN 2 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
     + CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END AS BIGINT) AS failed
   FROM f
 )

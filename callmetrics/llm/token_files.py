@@ -163,7 +163,7 @@ def write(docs: DataFrame, path: str, vocabulary_file: str, vocabulary: int, end
                 writer = writer or Writer(name(), bits)
                 column = s.column(1)
                 writer.add(np.asarray(column.fill_null(0)), np.asarray(column.is_valid()), ids, counts)
-                if writer.at >= file_bytes:
+                if writer.at + len(writer.rest) * bits // 8 >= file_bytes:
                     out.append((shard, part, name(), *writer.close()))
                     writer, part = None, part + 1
         if writer:
