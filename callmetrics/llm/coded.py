@@ -21,11 +21,22 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .scratch import written
 
-_SCHEMA = "slice long, n_docs long, n_tokens long, docs binary, valid binary, flags binary, first binary, number binary, words binary, ends binary"
+_SCHEMA = "slice long, n_docs long, n_tokens long, docs binary, valid binary, flags binary, first binary, number binary, words binary, lengths binary"
 #: Keys that a fragment holds, about.
 FRAGMENT_KEYS = 1 << 20
 
 
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, all their lowest bytes first: high bytes that are mostly zero then compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def of_planes(raw: pa.Scalar) -> np.ndarray:
+    """The inverse of `planes`, as 64-bit numbers."""
+    part = np.frombuffer(raw.as_buffer(), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(part.T).view("<u4")[:, 0].astype(np.int64)
+
+
 @dataclass
 class Slice:
     """A row of the table: documents and their words; `flag` is the caller's mark of each document."""
@@ -44,11 +55,11 @@ class Slice:
     def of(batch: pa.RecordBatch, row: int) -> Slice:
         raw = {name: batch.column(i)[row] for i, name in enumerate(batch.schema.names)}
         view = lambda name, kind: np.frombuffer(raw[name].as_buffer(), kind)
-        end = view("ends", "<u4").astype(np.int64)
+        end = np.cumsum(of_planes(raw["lengths"]))
         words = np.append(view("words", np.uint8), np.zeros(8, np.uint8))
         return Slice(
             raw["slice"].as_py(), view("docs", "<i8"), view("valid", np.uint8).astype(bool), view("flags", np.uint8), view("first", "<u4").astype(np.int64),
-            view("number", "<u4").astype(np.int64), words, np.append(0, end[:-1])[: len(end)], end,
+            of_planes(raw["number"]), words, np.append(0, end[:-1])[: len(end)], end,
         )
 
     @property
@@ -77,10 +88,11 @@ def coded(docs: DataFrame, flag: Column | None = None, *, id_column: str = "doc_
                 _, at, number = K.distinct(K.span_hash(t.data, w.start, w.end))
                 words, ends = K.gather(t.data, w.start[at], w.end[at])
                 ids, part = s.column(1), s.column(0)[0].as_py()
-                blobs = [np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()).astype(np.uint8), np.asarray(s.column(2)).astype(np.uint8), w.first.astype("<u4"), number.astype("<u4"), words, ends.astype("<u4")]
+                blobs = [np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()).astype(np.uint8), np.asarray(s.column(2)).astype(np.uint8), w.first.astype("<u4")]
+                blobs = [b.tobytes() for b in blobs] + [planes(number), words.tobytes(), planes(np.diff(ends, prepend=0))]
                 head = [pa.array([x], pa.int64()) for x in ((part << 20) + n, s.num_rows, len(w))]
                 n += 1
-                yield pa.RecordBatch.from_arrays(head + [pa.array([b.tobytes()], pa.binary()) for b in blobs], names=["slice", "n_docs", "n_tokens", "docs", "valid", "flags", "first", "number", "words", "ends"])
+                yield pa.RecordBatch.from_arrays(head + [pa.array([b], pa.binary()) for b in blobs], names=["slice", "n_docs", "n_tokens", "docs", "valid", "flags", "first", "number", "words", "lengths"])
 
     rows = docs.select(F.spark_partition_id().cast("long").alias("part"), F.col(id_column).cast("long").alias("doc_id"), F.coalesce(flag if flag is not None else F.lit(0), F.lit(0)).cast("byte").alias("flag"), F.col(text_column).alias("text"))
     return written(rows.mapInArrow(encode, _SCHEMA), "coded")
@@ -92,7 +104,7 @@ def fragments_for(keys: int) -> int:
 
 
 def totals(slices: DataFrame, keys: Callable[[Slice], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
-    """Sums of counts over all slices: slice, fragment, totals (64-bit, in the order of the slice's keys), and on one row of each fragment n_keys and n_sum.
+    """Sums of counts over all slices: slice, fragment, totals (in the order of the slice's keys), and on one row of each fragment n_keys and n_sum.
 
     `keys` gives a slice's sorted distinct 64-bit keys and their counts. Two keys that agree in the first 32 + bits
     bits count as one.
@@ -104,22 +116,22 @@ def totals(slices: DataFrame, keys: Callable[[Slice], tuple[np.ndarray, np.ndarr
                 s = Slice.of(batch, row)
                 key, count = keys(s)
                 cut = np.append(np.searchsorted(key, np.arange(1 << bits, dtype=K.U64) << K.U64(64 - bits)), len(key))
-                low, n = (key >> K.U64(32 - bits)).astype("<u4"), np.minimum(count, (1 << 32) - 1).astype("<u4")
+                low, n = (key >> K.U64(32 - bits)).astype("<u4"), np.minimum(count, (1 << 32) - 1)
                 at = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int64()), pa.array(np.full(len(at), s.id)), pa.array([low[cut[i] : cut[i + 1]].tobytes() for i in at], pa.binary()), pa.array([n[cut[i] : cut[i + 1]].tobytes() for i in at], pa.binary())],
+                    [pa.array(at, pa.int64()), pa.array(np.full(len(at), s.id)), pa.array([planes(np.diff(low[cut[i] : cut[i + 1]], prepend=low.dtype.type(0))) for i in at], pa.binary()), pa.array([planes(n[cut[i] : cut[i + 1]]) for i in at], pa.binary())],
                     names=["fragment", "slice", "keys", "counts"],
                 )
 
     def add(group: pa.Table) -> pa.Table:
-        low = [np.frombuffer(x.as_buffer(), "<u4") for x in group.column("keys")]
-        n = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in group.column("counts")])
+        low = [np.cumsum(of_planes(x)) for x in group.column("keys")]
+        n = np.concatenate([of_planes(x) for x in group.column("counts")])
         distinct, inverse = np.unique(np.concatenate(low), return_inverse=True)
         total = np.bincount(inverse, n, minlength=len(distinct))
-        back, cut = np.rint(total[inverse]).astype("<i8"), np.cumsum([0, *map(len, low)])
+        back, cut = np.minimum(np.rint(total[inverse]), (1 << 32) - 1), np.cumsum([0, *map(len, low)])
         first = np.arange(len(low)) == 0
         return pa.table({
-            "slice": group.column("slice"), "fragment": group.column("fragment"), "totals": pa.array([back[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
+            "slice": group.column("slice"), "fragment": group.column("fragment"), "totals": pa.array([planes(back[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
             "n_keys": np.where(first, int((total > 0).sum()), 0), "n_sum": np.where(first, int(total.sum()), 0),
         })
 
@@ -136,5 +148,5 @@ def with_totals(slices: DataFrame, sums: DataFrame) -> DataFrame:
 def totals_of(batch: pa.RecordBatch, row: int) -> np.ndarray:
     """The totals of a row of `with_totals`, in the order of the slice's keys."""
     sums = batch.column(batch.schema.get_field_index("sums"))[row]
-    parts = [np.frombuffer(x["totals"].as_buffer(), "<i8") for x in sums] if sums.is_valid else []
+    parts = [of_planes(x["totals"]) for x in sums] if sums.is_valid else []
     return np.concatenate([np.zeros(0, np.int64), *parts])

@@ -4,10 +4,11 @@ All n-grams have one order, the rarest first. The order is cut into fragments, a
 fragments are joined separately, each counts a part of a pair's overlap, and the parts are summed for each pair.
 
 Which pairs are worth counting follows from the same order. Two sets that are similar enough must share an n-gram
-among the first few of both, so pairs come from n-grams that stand there. Sets with equal members are one class
-with one representative. Within an n-gram's list the representatives are first compared with one leader. What is
-linked by then needs no further pair; the second round compares all pairs of the list that are still in different
-components. No link between different components is lost, and a large group of near copies costs a few pairs each.
+among the first few of both, and how many n-grams they share among these bounds what they can share in all. Sets
+with equal members are one class with one representative. A first round compares each representative with the one
+that leads most of its first n-grams' lists. What is linked by then needs no further pair: the second round takes the
+pairs of each list that are still in different components and within the bounds. No link between different
+components is lost, and a large group of near copies costs few comparisons.
 
 Documents without words, and null texts, have an empty set and no links. A null doc_id takes part, but names no
 component. Repeated rows are equal documents. Only the two named columns are read.
@@ -57,7 +58,7 @@ def _slice_keys(n: int):
 
 
 def _sets(n: int, percent: int):
-    """For each document: node, doc_id, n_shingles; and where enough of its n-grams are shared: two sums that name its set, the shared n-grams of its prefix, and its set."""
+    """For each document: node, doc_id, n_shingles; and where enough of its n-grams are shared: two sums that name its set, how many of its n-grams nobody shares (they stand first), the others of its prefix, and its set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,8 +87,9 @@ def _sets(n: int, percent: int):
                 spread = pa.array(there, mask=there < 0)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix))
                 blobs = pa.array([raw[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
-                columns = [pa.array(s.nodes()), pa.array(s.docs, mask=~s.valid), pa.array(size), pa.array(name[0]).take(spread), pa.array(name[1]).take(spread), lists.take(spread), blobs.take(spread)]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "doc_id", "n_shingles", "name1", "name2", "prefix", "members"])
+                rare = np.bincount(row, df == 1, minlength=len(size)).astype(np.int64)
+                columns = [pa.array(s.nodes()), pa.array(s.docs, mask=~s.valid), pa.array(size), pa.array(name[0]).take(spread), pa.array(name[1]).take(spread), pa.array(rare), lists.take(spread), blobs.take(spread)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "doc_id", "n_shingles", "name1", "name2", "n_alone", "prefix", "members"])
 
     return rows
 
@@ -145,33 +147,40 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, *, id_column: str = "do
     slices = coded(docs, id_column=id_column, text_column=text_column)
     tokens = slices.agg(F.sum("n_tokens")).first()[0] or 0
     sums = totals(slices, _slice_keys(n), fragments_for(tokens))
-    schema = "node long, doc_id long, n_shingles long, name1 long, name2 long, prefix array<long>, members binary"
+    schema = "node long, doc_id long, n_shingles long, name1 long, name2 long, n_alone long, prefix array<long>, members binary"
     sets = written(with_totals(slices, sums).mapInArrow(_sets(n, percent), schema), "shingle-sets")
     alone = sets.filter("name1 IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     name = ["n_shingles", "name1", "name2"]
     shared = sets.filter("name1 IS NOT NULL")
     classes = written(shared.groupBy(*name).agg(F.min("node").alias("node"), F.min("doc_id").alias("least")), "set-classes")
-    heads = shared.select("node", "n_shingles", "prefix", "members").join(classes.select("node"), "node")
-    heads = written(heads, "set-heads")
+    heads = written(shared.select("node", F.col("n_shingles").alias("size"), "n_alone", "prefix").join(classes.select("node"), "node"), "set-heads")
+    members = shared.select("node", "members")
 
-    places = heads.select("node", F.col("n_shingles").alias("size"), F.explode("prefix").alias("gram"))
+    # First round: each representative with the best of its lists' leaders.
+    places = heads.select("node", "size", F.explode("prefix").alias("gram"))
     lead = places.groupBy("gram").agg(F.min("node").alias("a"), F.min_by("size", "node").alias("na"), F.count("*").alias("k")).filter("k > 1")
-    close = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    places = written(places.join(lead, "gram"), "prefix-places")
-    first = places.select("a", F.col("node").alias("b"), "na", F.col("size").alias("nb")).filter("a < b").filter(close).distinct()
-    first = written(first, "pairs-first")
-    found = written(links(first, heads, percent), "links-first")
+    close = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    led = places.join(lead, "gram").select("a", F.col("node").alias("b"), "na", F.col("size").alias("nb")).filter("a < b").filter(close)
+    led = led.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    best = led.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("k", -F.col("a"))).alias("x")).select("x.a", "b", "x.na", "x.nb")
+    found = written(links(written(best, "pairs-first"), members, percent), "links-first")
     label = written(components(found), "components-first")
 
-    # Second round: pairs of one n-gram's list that are still apart.
-    now = places.select("gram", "node", "size").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = now.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram")
-    now = written(now.join(split, "gram"), "places-apart")
-    x, y = now.select("gram", F.col("node").alias("a"), F.col("size").alias("na"), F.col("component").alias("ca")), now.select("gram", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("component").alias("cb"))
-    second = x.join(y, "gram").filter("a < b AND ca <> cb").filter(close).select("a", "b", "na", "nb").distinct()
-    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs-second")
+    # Second round: pairs of one n-gram's list that are still apart. Common n-grams of the prefixes (by 32 bits of
+    # each, with those of one set that agree in these added) bound the overlap, and so does a common n-gram's place in both.
+    now = heads.join(label, "node", "left").select("node", "size", "n_alone", F.coalesce("component", "node").alias("component"), "prefix")
+    low = F.transform("prefix", lambda g: F.shiftright(g, 32).cast("int"))
+    now = now.select("node", "size", "component", "n_alone", low.alias("low"), F.posexplode("prefix").alias("i", "gram")).withColumn("twice", F.size("low") - F.size(F.array_distinct("low")))
+    split = now.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("gram")
+    now = written(now.join(split, "gram").withColumn("place", F.col("n_alone") + F.col("i")).drop("n_alone", "i"), "places-apart")
+    side = lambda x: now.select("gram", F.col("node").alias(x), F.col("size").alias("n" + x), F.col("component").alias("c" + x), F.col("low").alias("low" + x), F.col("twice").alias("t" + x), F.col("place").alias("p" + x))
+    need = f"((na + nb) * {percent} + {100 + percent} - 1) div {100 + percent}"
+    rest = f"greatest((na * {percent} + 99) div 100, (nb * {percent} + 99) div 100) - 1"
+    within = F.expr(f"a < b AND ca <> cb AND {close} AND pa <= na - {need} AND pb <= nb - {need} AND size(array_intersect(lowa, lowb)) + ta + {rest} >= {need}")
+    x, y = side("a"), side("b")
+    second = written(x.join(y, (x["gram"] == y["gram"]) & within).select("a", "b", "na", "nb").distinct(), "pairs-second")
     if not second.isEmpty():
-        found = found.unionByName(written(links(second, heads, percent), "links-second"))
+        found = found.unionByName(written(links(second, members, percent), "links-second"))
         label = written(components(found), "components-second")
 
     placed = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
