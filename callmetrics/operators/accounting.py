@@ -101,9 +101,9 @@ def topic_plan(declarations: DataFrame, raw: str = "calls.raw", raw_partitions:
 def unaccounted(expected: DataFrame, hydrator_failures: DataFrame, answered_pairs: DataFrame, functions: DataFrame) -> DataFrame:
     """Reachable calls that a function has not answered: function_id, n_missing, first five of them."""
     reachable = expected.select("call_id").distinct().join(hydrator_failures.select("call_id").distinct(), "call_id", "left_anti")
-    names = functions.agg(F.collect_set("function_id").alias("names"))
+    names = functions.agg(F.sort_array(F.collect_set("function_id"))).scalar()
     got = answered_pairs.groupBy("call_id").agg(F.collect_set("function_id").alias("got"))
-    gone = reachable.join(got, "call_id", "left").crossJoin(F.broadcast(names)).select("call_id", F.explode(F.array_except("names", F.coalesce("got", F.array().cast("array<string>")))).alias("function_id"))
+    gone = reachable.join(got, "call_id", "left").withColumn("names", names).select("call_id", F.explode(F.array_except("names", F.coalesce("got", F.array().cast("array<string>")))).alias("function_id"))
     first = Window.partitionBy("function_id", "_salt").orderBy("call_id")
     few = gone.withColumn("_salt", F.pmod(F.xxhash64("call_id"), F.lit(64))).withColumn("_i", F.row_number().over(first)).filter("_i <= 5").groupBy("function_id").agg(F.slice(F.array_sort(F.collect_list("call_id")), 1, 5).alias("examples"))
     return gone.groupBy("function_id").agg(F.count("*").alias("n_missing")).join(few, "function_id")

@@ -86,15 +86,19 @@ def answered(results: DataFrame, dead_letters: DataFrame) -> DataFrame:
     return results.select("call_id", "function_id").union(dead_letters.select("call_id", "function_id")).filter("call_id IS NOT NULL").distinct()
 
 
+def expected_functions(declarations: DataFrame) -> Column:
+    """The declared functions but the hydrator, in order, as one array: a scalar subquery."""
+    return declarations.filter(F.col("function_id") != HYDRATOR).agg(F.sort_array(F.collect_set("function_id"))).scalar()
+
+
 def missing(hydrated: DataFrame, declarations: DataFrame, answered_pairs: DataFrame) -> DataFrame:
     """(call, function) pairs that are expected and not answered.
 
     The expected functions of a call are an array on its own row, so the calls are not multiplied before the answers
     are taken away: declarations are configuration, a few rows.
     """
-    expected = declarations.filter(F.col("function_id") != HYDRATOR).agg(F.coalesce(F.sort_array(F.collect_set("function_id")), F.array().cast("array<string>")).alias("expected"))
     got = answered_pairs.groupBy("call_id").agg(F.collect_set("function_id").alias("got"))
-    df = hydrated.select("call_id").distinct().join(got, "call_id", "left").crossJoin(F.broadcast(expected))  # one row
+    df = hydrated.select("call_id").distinct().join(got, "call_id", "left").withColumn("expected", expected_functions(declarations))
     return df.select("call_id", F.explode(F.array_except("expected", F.coalesce("got", F.array().cast("array<string>")))).alias("function_id"))
 
 
@@ -106,9 +110,8 @@ def call_trace(references: DataFrame, results: DataFrame, dead_letters: DataFram
     last = latest(results, KEY, order)
     r = last.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("function_id", "function_version", "status", "attempt"))).alias("results"))
     d = dead_letters.filter("call_id IS NOT NULL").groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("function_id", "error_code", "attempt"))).alias("dead_letters"))
-    expected = declarations.filter(F.col("function_id") != HYDRATOR).agg(F.coalesce(F.sort_array(F.collect_set("function_id")), F.array().cast("array<string>")).alias("expected"))
     refs = references.select("call_id", F.lit(True).alias("_hydrated")).distinct()
-    df = refs.join(r, "call_id", "full_outer").join(d, "call_id", "full_outer").crossJoin(F.broadcast(expected))
+    df = refs.join(r, "call_id", "full_outer").join(d, "call_id", "full_outer").withColumn("expected", expected_functions(declarations))
     none = F.array().cast("array<string>")
     names = lambda c: F.coalesce(F.transform(c, lambda x: x["function_id"]), none)
     hydrated = F.coalesce("_hydrated", F.lit(False))
