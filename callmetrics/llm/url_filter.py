@@ -111,9 +111,8 @@ def judge(pages: DataFrame, rules: list[Rule], *, id_column: str = "page_id", ur
     edges = written(host_edges(fitted), "host-edges")
     counts = fitted.groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("a"), F.count_if(F.col("rule_verdict") == "block").alias("b"))
     counts = written(counts, "host-counts")
-    total = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    part = lambda n, of: F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0))
-    seeds = counts.crossJoin(F.broadcast(total)).select("host", part("a", "ta").alias("trust_seed"), part("b", "tb").alias("distrust_seed"))  # one row of totals
+    part = lambda n: F.coalesce(F.try_divide(F.col(n), counts.agg(F.sum(n)).scalar()), F.lit(0.0))
+    seeds = counts.select("host", part("a").alias("trust_seed"), part("b").alias("distrust_seed"))
     scores = propagate(edges, seeds, iterations=iterations)
     bad = scores.filter("distrust > trust").select("host", F.lit(True).alias("bad"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("bad"), "block").otherwise("allow"))
