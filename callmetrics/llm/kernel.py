@@ -36,11 +36,10 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
     """Row ranges of a batch whose texts hold about `limit` bytes; a longer text stands alone."""
     if not batch.num_rows:
         return
-    ends = _offsets(batch.column(column))[1:]
+    offsets = _offsets(batch.column(column))
     first = 0
     while first < batch.num_rows:
-        begin = ends[first - 1] if first else ends[0] - (ends[0] - _offsets(batch.column(column))[0])
-        last = max(first + 1, int(np.searchsorted(ends, begin + limit, "right")))
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield batch.slice(first, last - first)
         first = last
 
