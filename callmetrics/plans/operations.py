@@ -130,19 +130,19 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.drift(D.declared(spark), D.event_log(spark, sf_dir))
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nations as declarations, and the topics of every second and third of them, with the number of suppliers as partitions."""
-    n, key = D.table(spark, sf_dir, "nation"), F.col("n_nationkey")
-    per = D.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").cast("int").alias("partitions"))
-    d = n.select(F.concat(F.lit("fn_"), key.cast("string")).alias("function_id"), F.lit("calls.internal").alias("input_topic"), F.concat(F.lit("calls.results."), key.cast("string")).alias("results_topic"), (key % 9 + 1).cast("int").alias("results_topic_partitions"), F.concat(F.lit("calls.dlq."), key.cast("string")).alias("dlq_topic"))
-    results = n.filter(key % 2 == 0).join(per, "n_nationkey").select(F.concat(F.lit("calls.results."), key.cast("string")).alias("name"), "partitions")
-    dlq = n.filter(key % 3 == 0).select(F.concat(F.lit("calls.dlq."), key.cast("string")).alias("name"), F.lit(3).alias("partitions"))
-    return d, results.union(dlq).union(n.filter(key == 0).select(F.lit("calls.internal"), F.lit(200)))
+def _suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as declarations, and the topics of every second and third of them, with a number of partitions by nation."""
+    n, key = D.table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    name = lambda kind: F.concat(F.lit(f"calls.{kind}."), key.cast("string"))
+    d = n.select(F.concat(F.lit("fn_"), key.cast("string")).alias("function_id"), F.lit("calls.internal").alias("input_topic"), name("results").alias("results_topic"), (key % 9 + 1).cast("int").alias("results_topic_partitions"), name("dlq").alias("dlq_topic"))
+    results = n.filter(key % 2 == 0).select(name("results").alias("name"), (F.col("s_nationkey") + 1).cast("int").alias("partitions"))
+    dlq = n.filter(key % 3 == 0).select(name("dlq").alias("name"), F.lit(3).alias("partitions"))
+    return d, results.union(dlq).union(n.select(F.lit("calls.internal"), F.lit(200)).distinct())
 
 
 @query("config_lint", """
-WITH per AS (SELECT s_nationkey AS k, count(*) AS p FROM supplier GROUP BY s_nationkey), d AS (
-  SELECT 'fn_' || CAST(n_nationkey AS VARCHAR) AS subject, n_nationkey AS k, n_nationkey % 9 + 1 AS declared, CASE WHEN n_nationkey % 2 = 0 THEN p END AS there FROM nation LEFT JOIN per ON n_nationkey = k
+WITH d AS (
+  SELECT 'fn_' || CAST(s_suppkey AS VARCHAR) AS subject, s_suppkey AS k, s_suppkey % 9 + 1 AS declared, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey + 1 END AS there FROM supplier
 )
 SELECT 'error' AS severity, subject, 'results topic is missing' AS message FROM d WHERE there IS NULL
 UNION ALL SELECT 'error', subject, 'declares more partitions than there are' FROM d WHERE declared > there
@@ -150,15 +150,15 @@ UNION ALL SELECT 'warning', subject, 'declares fewer partitions than there are'
 UNION ALL SELECT 'warning', subject, 'dead-letter topic is missing' FROM d WHERE k % 3 <> 0
 """)
 def config_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.lint(*_nations(spark, sf_dir))
+    return C.lint(*_suppliers(spark, sf_dir))
 
 
 @query("topic_plan", """
-SELECT 'calls.raw' AS name, 12 AS partitions UNION ALL SELECT 'calls.internal', CAST(max(n_nationkey % 9 + 1) AS INTEGER) FROM nation
-UNION ALL SELECT 'calls.results.' || CAST(n_nationkey AS VARCHAR), CAST(n_nationkey % 9 + 1 AS INTEGER) FROM nation UNION ALL SELECT 'calls.dlq.' || CAST(n_nationkey AS VARCHAR), 3 FROM nation
+SELECT 'calls.raw' AS name, 12 AS partitions UNION ALL SELECT 'calls.internal', CAST(max(s_suppkey % 9 + 1) AS INTEGER) FROM supplier
+UNION ALL SELECT 'calls.results.' || CAST(s_suppkey AS VARCHAR), CAST(s_suppkey % 9 + 1 AS INTEGER) FROM supplier UNION ALL SELECT 'calls.dlq.' || CAST(s_suppkey AS VARCHAR), 3 FROM supplier
 """)
 def topic_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.topic_plan(_nations(spark, sf_dir)[0])
+    return C.topic_plan(_suppliers(spark, sf_dir)[0])
 
 
 @query("group_lag", "WITH" + D.OFFSETS + """
