@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def blocked(signals: DataFrame, block: int = 1 << 16) -> DataFrame:
+#: Samples in a block: a multiple of the 20 ms frames (320) and of the hops (256) of 16 kHz audio.
+BLOCK = 64_000
+
+
+def blocked(signals: DataFrame, block: int = BLOCK) -> DataFrame:
     """Blocks of recordings that are given as one array each. `block` must be a multiple of the frames used later."""
     n = F.size("samples")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(block))).otherwise(F.array(F.lit(0)))

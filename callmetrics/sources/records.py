@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import object_key, text_of
+from ..operators.signals import BLOCK
 from ..schemas import CANONICAL
 
 
@@ -85,7 +86,7 @@ def hydrated(good: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
-def wav_blocks(recordings: DataFrame, block: int = 1 << 16) -> DataFrame:
+def wav_blocks(recordings: DataFrame, block: int = BLOCK) -> DataFrame:
     """Blocks of 16-bit PCM WAV recordings: call_id, content, sample_rate (claimed) in; call_id, sample_rate, start_sample, samples, error_code out.
 
     Bad bytes, another rate and more than one channel each give one row with an error and no samples.

@@ -88,6 +88,13 @@ def test_short_calls_are_skipped_or_one_frame(spark):
     assert by_call(A.spectral_centroid(b))["few"]["status"] == "SKIPPED"
 
 
+def test_default_blocks_hold_whole_frames(spark):
+    x = tone(300, 9)  # three blocks
+    rows = [("c", RATE, [float(v) for v in x.astype(np.float32)])]
+    b = blocked(spark.createDataFrame(rows, "call_id string, sample_rate int, samples array<float>"))
+    assert b.count() == 3 and frames(b, 320).count() == len(x) // 320 and hops(b, 512, 256).count() == (len(x) - 512) // 256 + 1
+
+
 def test_runs_and_bridges(spark):
     rows = spark.createDataFrame([("a", i) for i in (0, 1, 2, 5, 6, 20)], "call_id string, idx long")
     assert sorted((r["start"], r["length"]) for r in runs(rows, ["call_id"]).collect()) == [(0, 3), (5, 2), (20, 1)]
