@@ -46,7 +46,7 @@ def same_as_sql(spark, query, sql, sf_dir=SMALL):
 
     def rows(df):
         def plain(v):
-            if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+            if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
                 return "null"
             if isinstance(v, bool) or type(v).__name__ == "bool":
                 return str(bool(v))
