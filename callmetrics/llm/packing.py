@@ -31,6 +31,9 @@ from .scratch import written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+#: Rows, of about 140 bytes each, that are broadcast at most.
+BROADCAST_ROWS = 200_000
+
 
 def _repeated(reach: int, length: int, count: int, mask: int) -> int:
     """Sums reachable by adding `length` up to `count` times."""
@@ -152,7 +155,7 @@ def tokens(docs: DataFrame, vocabulary_file: str, end: int, window: int, *, id_c
     return written(rows.mapInArrow(encode, "part int, rest long, rank long, doc_id long, n long, windows long, ids binary"), "packing-ids")
 
 
-def pack(ids: DataFrame, window: int = 4096, *, with_ids: bool = False) -> DataFrame:
+def pack(ids: DataFrame, window: int = 4096, *, with_ids: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (32 bits) if asked for."""
     spark = ids.sparkSession
     sizes = ids.groupBy("part", "rest").agg(F.count("*").alias("n_rows"), F.sum(F.expr(f"n div {window}")).alias("n_windows"))
@@ -164,7 +167,10 @@ def pack(ids: DataFrame, window: int = 4096, *, with_ids: bool = False) -> DataF
     ranks = sizes.select("part", "rest", F.coalesce(F.sum("n_rows").over(Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rank_base"))
     parts = sizes.groupBy("part").agg(F.sum("n_windows").alias("n_windows"))  # a row for each partition of the input
     parts = parts.select("part", F.coalesce(F.sum("n_windows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("window_base"))
-    placed = ids.join(ranks.join(parts, "part"), ["part", "rest"]).select("doc_id", "n", "rest", (F.col("rank") + F.col("rank_base")).alias("rank"), (F.col("windows") + F.col("window_base")).alias("windows"), "ids")
+    # A row for each part and length: broadcast while there are few, else joined by a shuffle of the ids.
+    ranks = ranks.join(parts, "part")
+    ranks = F.broadcast(ranks) if sizes.count() <= broadcast_rows else ranks.hint("merge")
+    placed = ids.join(ranks, ["part", "rest"]).select("doc_id", "n", "rest", (F.col("rank") + F.col("rank_base")).alias("rank"), (F.col("windows") + F.col("window_base")).alias("windows"), "ids")
     shared = spark.sparkContext.broadcast(plan)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

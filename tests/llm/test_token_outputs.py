@@ -80,9 +80,10 @@ def pieces_are_whole(rows, docs, window):
 
 
 @pytest.mark.parametrize("window", [16, 64, 4096])
-def test_packing(odd, window):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_packing(odd, window, few):
     ids = packing.tokens(odd, WORD, 2, window)
-    rows = packing.pack(ids, window, with_ids=True).collect()
+    rows = packing.pack(ids, window, with_ids=True, broadcast_rows=few).collect()
     sizes = pieces_are_whole(rows, awkward(), window)
     assert all(n == window or n & (n - 1) == 0 for n in sizes)  # no padding
     want = sorted(tuple(encoded(WORD, r[1], 2)) for r in awkward())
