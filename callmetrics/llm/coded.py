@@ -103,11 +103,11 @@ def fragments_for(keys: int) -> int:
     return max(3, math.ceil(math.log2(max(1, keys) / FRAGMENT_KEYS)))
 
 
-def totals(slices: DataFrame, keys: Callable[[Slice], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
+def totals(slices: DataFrame, keys: Callable[[Slice], tuple[np.ndarray, np.ndarray]], bits: int, *, whole: bool = False) -> DataFrame:
     """Sums of counts over all slices: slice, fragment, totals (in the order of the slice's keys), and on one row of each fragment n_keys and n_sum.
 
     `keys` gives a slice's sorted distinct 64-bit keys and their counts. Two keys that agree in the first 32 + bits
-    bits count as one.
+    bits count as one, unless `whole` keys are sent, which takes twice the room.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,12 +119,12 @@ def totals(slices: DataFrame, keys: Callable[[Slice], tuple[np.ndarray, np.ndarr
                 low, n = (key >> K.U64(32 - bits)).astype("<u4"), np.minimum(count, (1 << 32) - 1)
                 at = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int64()), pa.array(np.full(len(at), s.id)), pa.array([planes(np.diff(low[cut[i] : cut[i + 1]], prepend=low.dtype.type(0))) for i in at], pa.binary()), pa.array([planes(n[cut[i] : cut[i + 1]]) for i in at], pa.binary())],
+                    [pa.array(at, pa.int64()), pa.array(np.full(len(at), s.id)), pa.array([key[cut[i] : cut[i + 1]].tobytes() if whole else planes(np.diff(low[cut[i] : cut[i + 1]], prepend=low.dtype.type(0))) for i in at], pa.binary()), pa.array([planes(n[cut[i] : cut[i + 1]]) for i in at], pa.binary())],
                     names=["fragment", "slice", "keys", "counts"],
                 )
 
     def add(group: pa.Table) -> pa.Table:
-        low = [np.cumsum(of_planes(x)) for x in group.column("keys")]
+        low = [np.frombuffer(x.as_buffer(), "<u8") if whole else np.cumsum(of_planes(x)) for x in group.column("keys")]
         n = np.concatenate([of_planes(x) for x in group.column("counts")])
         distinct, inverse = np.unique(np.concatenate(low), return_inverse=True)
         total = np.bincount(inverse, n, minlength=len(distinct))

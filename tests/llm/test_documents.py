@@ -244,10 +244,11 @@ def test_groups_equal_sql(spark):
     same_as_sql(spark, ngram_join.query, ngram_join.ORACLE_SQL)
 
 
-def test_totals_over_slices(spark, odd):
+@pytest.mark.parametrize("whole", [False, True])
+def test_totals_over_slices(spark, odd, whole):
     slices = coded.coded(odd)
     keys = lambda s: (np.sort(s.hashes()), np.bincount(s.number, minlength=len(s.start))[np.argsort(s.hashes())])
-    r = coded.totals(slices, keys, 3).agg(F.sum("n_keys"), F.sum("n_sum")).first()
+    r = coded.totals(slices, keys, 3, whole=whole).agg(F.sum("n_keys"), F.sum("n_sum")).first()
     count = Counter(w for row in awkward() for w in words(lower(row[1] or "")))
     assert tuple(r) == (len(count), sum(count.values()))
 
