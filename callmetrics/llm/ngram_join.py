@@ -168,11 +168,12 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, *, id_column: str = "do
 
     # Second round: pairs of one n-gram's list that are still apart. Common n-grams of the prefixes (by 32 bits of
     # each, with those of one set that agree in these added) bound the overlap, and so does a common n-gram's place in both.
-    now = heads.join(label, "node", "left").select("node", "size", "n_alone", F.coalesce("component", "node").alias("component"), "prefix")
-    low = F.transform("prefix", lambda g: F.shiftright(g, 32).cast("int"))
-    now = now.select("node", "size", "component", "n_alone", low.alias("low"), F.posexplode("prefix").alias("i", "gram")).withColumn("twice", F.size("low") - F.size(F.array_distinct("low")))
+    now = heads.join(label, "node", "left").select("node", "size", "n_alone", F.coalesce("component", "node").alias("component"), F.posexplode("prefix").alias("i", "gram"))
     split = now.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("gram")
-    now = written(now.join(split, "gram").withColumn("place", F.col("n_alone") + F.col("i")).drop("n_alone", "i"), "places-apart")
+    now = now.join(split, "gram").select("gram", "node", "size", "component", (F.col("n_alone") + F.col("i")).alias("place"))
+    low = F.transform("prefix", lambda g: F.shiftright(g, 32).cast("int"))
+    lists = heads.select("node", low.alias("low")).withColumn("twice", F.size("low") - F.size(F.array_distinct("low")))
+    now = written(now.join(lists, "node"), "places-apart")
     side = lambda x: now.select("gram", F.col("node").alias(x), F.col("size").alias("n" + x), F.col("component").alias("c" + x), F.col("low").alias("low" + x), F.col("twice").alias("t" + x), F.col("place").alias("p" + x))
     need = f"((na + nb) * {percent} + {100 + percent} - 1) div {100 + percent}"
     rest = f"greatest((na * {percent} + 99) div 100, (nb * {percent} + 99) div 100) - 1"
