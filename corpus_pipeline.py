@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callmetrics.llm import decontamination, language, ngram_join, packing, quality
@@ -19,9 +20,21 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_SCORE = 0.3
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among the rejected ones; a null doc_id stays."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with `row`, a number that no other row has: its file's number and its place there. What isn't read from files is written first."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = written(docs, "pipeline-rows")
+    files = docs.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    numbers = files.select("_file", F.row_number().over(Window.orderBy("_file")).cast("long").alias("_number"))  # a row a file
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    return placed.join(F.broadcast(numbers), "_file").select(*docs.columns, F.expr("shiftleft(_number, 40) + _index").alias("row"))
+
+
+def _without(rows: DataFrame, removed: DataFrame) -> DataFrame:
+    """The keyed documents whose row is not among the removed ones, without their key."""
+    return rows.join(removed, "row", "left_anti").drop("row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +49,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays."""
-    return _without(docs, ngram_join.join(docs).filter("doc_id <> component_id"))
+    """Of each group of near duplicates one row stays: the first with the least doc_id, one without doc_id only if all are."""
+    rows = _keyed(docs)
+    groups = ngram_join.join(rows, id_column="row").filter("doc_id <> component_id")
+    others = written(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "pipeline-copies")
+    members = others.unionByName(others.select(F.col("component").alias("row"), "component").distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = members.join(rows.select("row", "doc_id"), "row").groupBy("component").agg(F.min(order).alias("x"))
+    return _without(rows, members.select("row").join(first.select("x.row"), "row", "left_anti"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
+    rows = _keyed(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontamination.contamination(docs, benchmark).filter("contaminated"))
+    found = decontamination.contamination(rows.select(F.col("row").alias("doc_id"), "text"), benchmark)
+    return _without(rows, found.filter("contaminated").select(F.col("doc_id").alias("row")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
