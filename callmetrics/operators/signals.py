@@ -6,12 +6,14 @@ All operators on blocks aggregate in two steps: within a block by higher-order f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 #: Samples in a block: a multiple of the 20 ms frames (320) and of the hops (256) of 16 kHz audio.
 BLOCK = 64_000
+#: Rows that are numbered together, about.
+BUCKET_ROWS = 1 << 22
 
 
 def blocked(signals: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -23,9 +25,34 @@ def blocked(signals: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def from_rows(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Recordings as one array each, from one row a sample: call_id, sample_rate, value. A recording must fit in a row."""
-    return rows.groupBy("call_id", "sample_rate").agg(F.array_sort(F.collect_list(F.struct(*order, "value"))).alias("s")).select("call_id", "sample_rate", F.transform("s", lambda x: x["value"].cast("float")).alias("samples"))
+def _bucket(x: Column, bounds: list[float]) -> Column:
+    """How many of the sorted bounds a value reaches, by halving; a null reaches none."""
+    if not bounds:
+        return F.lit(0)
+    half = len(bounds) // 2
+    return F.when(x >= bounds[half], _bucket(x, bounds[half + 1 :]) + (half + 1)).otherwise(_bucket(x, bounds[:half]))
+
+
+def from_rows(rows: DataFrame, order: list[str], block: int = BLOCK, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Blocks of recordings that are given as one row a sample: call_id, sample_rate, value.
+
+    Rows are numbered in buckets of the first column of the order (a time or a number), which hold about `bucket_rows` rows
+    of all calls, after the call's rows in earlier buckets. No array is longer than a block, however long a recording.
+    """
+    x, n = F.col(order[0]).cast("double"), -(-rows.count() // bucket_rows)
+    bounds = rows.agg(F.percentile_approx(x, [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 else None
+    key = ["call_id", "sample_rate"]
+    placed = rows.withColumn("_bucket", _bucket(x, sorted(set(bounds or []))))
+    at = F.row_number().over(Window.partitionBy(*key, "_bucket").orderBy(*order, "value")).cast("long") - 1
+    numbered = placed.withColumn("_at", at)
+    if bounds:
+        before = F.sum("_n").over(Window.partitionBy("_call", "_rate").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        counts = placed.groupBy(F.col("call_id").alias("_call"), F.col("sample_rate").alias("_rate"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+        counts = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
+        same = F.col("call_id").eqNullSafe(F.col("_call")) & F.col("sample_rate").eqNullSafe(F.col("_rate")) & (F.col("_bucket") == F.col("_b"))
+        numbered = numbered.join(counts, same).withColumn("_at", F.col("_at") + F.col("_before"))
+    of_block = numbered.groupBy(*key, F.expr(f"_at div {block}").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("s"))
+    return of_block.select(*key, (F.col("_block") * block).alias("start_sample"), F.transform("s", lambda v: v["value"].cast("float")).alias("samples"))
 
 
 def lengths(blocks: DataFrame) -> DataFrame:

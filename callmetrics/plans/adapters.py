@@ -30,7 +30,7 @@ sig AS (
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user, in order, as a recording at 16 Hz."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("call_id"), F.lit(16).alias("sample_rate"), "ts", "event_id", ((F.col("value") - 50) / 100).cast("float").alias("value"))
-    return blocked(from_rows(e, ["ts", "event_id"]), 1 << 12)
+    return from_rows(e, ["ts", "event_id"], 1 << 12)
 
 
 ACTIVITY = """
