@@ -60,9 +60,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go; items without an id are searched as one item."""
     rows = _keyed(docs)
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))
     found = decontamination.contamination(rows.select(F.col("row").alias("doc_id"), "text"), benchmark)
     return _without(rows, found.filter("contaminated").select(F.col("doc_id").alias("row")))
 

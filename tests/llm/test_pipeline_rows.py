@@ -31,3 +31,9 @@ def test_contaminated_rows_go_and_no_others(spark, tmp_path):
     rows = [(3, "a " + PASSAGE, "hit"), (3, "clean text of the same id", "clean"), (None, PASSAGE + " b", "null hit"), (None, "clean text without id", "clean null")]
     docs = documents(spark, f"{tmp_path}/docs", rows)
     assert kept(corpus_pipeline.decontaminated(spark, docs, str(tmp_path))) == [(3, "clean"), (None, "clean null")]
+
+
+def test_items_without_id_are_searched(spark, tmp_path):
+    spark.createDataFrame([(None, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, f"{tmp_path}/docs", [(3, "a " + PASSAGE, "hit"), (4, "clean text", "clean")])
+    assert kept(corpus_pipeline.decontaminated(spark, docs, str(tmp_path))) == [(4, "clean")]
