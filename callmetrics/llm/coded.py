@@ -26,15 +26,35 @@ _SCHEMA = "slice long, n_docs long, n_tokens long, docs binary, valid binary, fl
 FRAGMENT_KEYS = 1 << 20
 
 
-def planes(x: np.ndarray) -> bytes:
-    """32-bit numbers, all their lowest bytes first: high bytes that are mostly zero then compress."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def planes(x: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of `width` bytes (4 or 8), all their lowest bytes first: high bytes that are mostly zero then compress."""
+    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
-def of_planes(raw: pa.Scalar) -> np.ndarray:
-    """The inverse of `planes`, as 64-bit numbers."""
-    part = np.frombuffer(raw.as_buffer(), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(part.T).view("<u4")[:, 0].astype(np.int64)
+def of_planes(raw: pa.Scalar, width: int = 4, skip: int = 0) -> np.ndarray:
+    """The inverse of `planes`, as 64-bit numbers; `skip` bytes stand before them."""
+    part = np.frombuffer(raw.as_buffer(), np.uint8)[skip:].reshape(width, -1)
+    return np.ascontiguousarray(part.T).view(f"<u{width}")[:, 0].astype(np.int64)
+
+
+def counts(x: np.ndarray) -> bytes:
+    """Counts in 32 bits each, or 64 if one needs them; the first byte tells."""
+    width = 8 if len(x) and int(x.max()) >> 32 else 4
+    return bytes([width]) + planes(x, width)
+
+
+def of_counts(raw: pa.Scalar) -> np.ndarray:
+    """The inverse of `counts`."""
+    return of_planes(raw, int.from_bytes(raw.as_buffer()[:1].to_pybytes()), 1)
+
+
+#: Bands of frequencies: four to an octave.
+BANDS = 256
+
+
+def bands(df: np.ndarray) -> np.ndarray:
+    """The band of each frequency; 1 is in band 0."""
+    return np.floor(4 * np.log2(np.maximum(df, 1)) + 1e-9).astype(np.int64)
 
 
 @dataclass
@@ -103,11 +123,11 @@ def fragments_for(keys: int) -> int:
     return max(3, math.ceil(math.log2(max(1, keys) / FRAGMENT_KEYS)))
 
 
-def totals(slices: DataFrame, keys: Callable[[Slice], tuple[np.ndarray, np.ndarray]], bits: int, *, whole: bool = False) -> DataFrame:
-    """Sums of counts over all slices: slice, fragment, totals (in the order of the slice's keys), and on one row of each fragment n_keys and n_sum.
+def totals(slices: DataFrame, keys: Callable[[Slice], tuple[np.ndarray, np.ndarray]], bits: int, *, whole: bool = False, frequent: int = 0) -> DataFrame:
+    """Sums of counts over all slices: slice, fragment, totals (in the order of the slice's keys), and on one row of each fragment n_keys, n_sum and volume, the sums by band of frequency.
 
-    `keys` gives a slice's sorted distinct 64-bit keys and their counts. Two keys that agree in the first 32 + bits
-    bits count as one, unless `whole` keys are sent, which takes twice the room.
+    Sums are exact below 2**53. `keys` gives a slice's sorted distinct 64-bit keys and their counts. Two keys that agree in the first 32 + bits
+    bits count as one, unless `whole` keys are sent, which takes twice the room. Of these, `frequent` holds the keys with at least so many counts.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,27 +136,36 @@ def totals(slices: DataFrame, keys: Callable[[Slice], tuple[np.ndarray, np.ndarr
                 s = Slice.of(batch, row)
                 key, count = keys(s)
                 cut = np.append(np.searchsorted(key, np.arange(1 << bits, dtype=K.U64) << K.U64(64 - bits)), len(key))
-                low, n = (key >> K.U64(32 - bits)).astype("<u4"), np.minimum(count, (1 << 32) - 1)
+                low = (key >> K.U64(32 - bits)).astype("<u4")
                 at = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int64()), pa.array(np.full(len(at), s.id)), pa.array([key[cut[i] : cut[i + 1]].tobytes() if whole else planes(np.diff(low[cut[i] : cut[i + 1]], prepend=low.dtype.type(0))) for i in at], pa.binary()), pa.array([planes(n[cut[i] : cut[i + 1]]) for i in at], pa.binary())],
+                    [pa.array(at, pa.int64()), pa.array(np.full(len(at), s.id)), pa.array([key[cut[i] : cut[i + 1]].tobytes() if whole else planes(np.diff(low[cut[i] : cut[i + 1]], prepend=low.dtype.type(0))) for i in at], pa.binary()), pa.array([counts(count[cut[i] : cut[i + 1]]) for i in at], pa.binary())],
                     names=["fragment", "slice", "keys", "counts"],
                 )
 
     def add(group: pa.Table) -> pa.Table:
         low = [np.frombuffer(x.as_buffer(), "<u8") if whole else np.cumsum(of_planes(x)) for x in group.column("keys")]
-        n = np.concatenate([of_planes(x) for x in group.column("counts")])
+        n = np.concatenate([of_counts(x) for x in group.column("counts")])
         distinct, inverse = np.unique(np.concatenate(low), return_inverse=True)
-        total = np.bincount(inverse, n, minlength=len(distinct))
-        back, cut = np.minimum(np.rint(total[inverse]), (1 << 32) - 1), np.cumsum([0, *map(len, low)])
-        first = np.arange(len(low)) == 0
+        total = np.rint(np.bincount(inverse, n, minlength=len(distinct))).astype(np.int64)
+        back, cut = total[inverse], np.cumsum([0, *map(len, low)])
+        volume = np.bincount(bands(total), total, minlength=BANDS).astype(np.int64)
         return pa.table({
-            "slice": group.column("slice"), "fragment": group.column("fragment"), "totals": pa.array([planes(back[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
-            "n_keys": np.where(first, int((total > 0).sum()), 0), "n_sum": np.where(first, int(total.sum()), 0),
+            "slice": group.column("slice"), "fragment": group.column("fragment"), "totals": pa.array([counts(back[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
+            "n_keys": [int((total > 0).sum()), *[0] * (len(low) - 1)], "n_sum": [int(total.sum()), *[0] * (len(low) - 1)],
+            "volume": pa.array([volume.tolist(), *[None] * (len(low) - 1)], pa.list_(pa.int64())),
+            "frequent": pa.array([distinct[total >= frequent].tobytes() if whole and frequent else None, *[None] * (len(low) - 1)], pa.binary()),
         })
 
     sent = slices.mapInArrow(send, "fragment long, slice long, keys binary, counts binary")
-    return sent.groupBy("fragment").applyInArrow(add, "slice long, fragment long, totals binary, n_keys long, n_sum long")
+    return sent.groupBy("fragment").applyInArrow(add, "slice long, fragment long, totals binary, n_keys long, n_sum long, volume array<long>, frequent binary")
+
+
+def volume_by_band(sums: DataFrame) -> list[int]:
+    """Sums of all counts by band of frequency."""
+    rows = sums.select(F.posexplode("volume").alias("band", "n")).groupBy("band").agg(F.sum("n").alias("n")).collect()  # a row for each band
+    found = {r["band"]: r["n"] for r in rows}
+    return [found.get(i, 0) for i in range(BANDS)]
 
 
 def with_totals(slices: DataFrame, sums: DataFrame) -> DataFrame:
@@ -148,5 +177,5 @@ def with_totals(slices: DataFrame, sums: DataFrame) -> DataFrame:
 def totals_of(batch: pa.RecordBatch, row: int) -> np.ndarray:
     """The totals of a row of `with_totals`, in the order of the slice's keys."""
     sums = batch.column(batch.schema.get_field_index("sums"))[row]
-    parts = [of_planes(x["totals"]) for x in sums] if sums.is_valid else []
+    parts = [of_counts(x["totals"]) for x in sums] if sums.is_valid else []
     return np.concatenate([np.zeros(0, np.int64), *parts])
