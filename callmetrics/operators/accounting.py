@@ -9,19 +9,6 @@ from ..functions import seconds_between
 from ..schemas import HYDRATOR
 
 
-def nearest_rank(df: DataFrame, key: list[str], value: str, percents: list[float]) -> DataFrame:
-    """The value at rank round-half-even(p / 100 * (n - 1)) of each key, rounded to 4 places: columns p50 and so on. Nulls do not count.
-
-    Values are counted before they are ranked, so equal values are one row.
-    """
-    v = df.filter(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = v.withColumns({"_upto": F.sum("_n").over(w), "_total": F.sum("_n").over(Window.partitionBy(*key))})
-    rank = lambda p: F.least(F.col("_total") - 1, F.bround(F.lit(p / 100.0) * (F.col("_total") - 1)).cast("long"))
-    at = [F.bround(F.min(F.when(F.col("_upto") > rank(p), F.col(value))), 4).alias(f"p{p:g}") for p in percents]
-    return v.groupBy(*key).agg(*at)
-
-
 def function_tally(results: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Of each function: results, unique calls, duplicates, statuses, attempts, audio seconds, first and last seen, calls a second."""
     if expected is not None:  # call_id, seconds
@@ -163,7 +150,7 @@ def retry_ladder(events: DataFrame, order: list[str]) -> DataFrame:
 
 
 def graded(payloads: DataFrame) -> DataFrame:
-    """Grades of parsed payloads: function_id and a map of numbers `m` give `grade` (good, warn, bad or null)."""
+    """Grades of parsed payloads: function_id and a map of numbers `m` give `grade` (good, warn, bad or null), a `fraction`, `claim_grade` (bad where a measured duration is more than a second off the claimed one) and a `note`."""
     m = lambda k: F.element_at("m", F.lit(k))
     f = F.col("function_id")
     grade = (
@@ -175,4 +162,7 @@ def graded(payloads: DataFrame) -> DataFrame:
         .when(f == "snr_estimate", F.when(m("confidence") < 0.4, "warn").when(m("snr_db") > 20, "good"))
     )
     fraction = F.when(f == "duration_rms", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (m("dbfs") + 60) / 60))).when(f == "spectral_centroid", F.least(F.lit(1.0), m("centroid_hz") / m("nyquist_hz"))).when(f == "zero_crossing_rate", F.least(F.lit(1.0), m("zcr_per_second") / 4000))
-    return payloads.withColumns({"grade": grade, "fraction": fraction})
+    gap = F.abs(m("duration_seconds") - F.nullif(m("reference_duration_seconds"), F.lit(0.0)))
+    claim = F.when((f == "duration_rms") & gap.isNotNull(), F.when(gap > 1, "bad").otherwise("good"))
+    note = F.when((f == "energy_vad") & (m("first_speech_seconds") < 0), "never")
+    return payloads.withColumns({"grade": grade, "fraction": fraction, "claim_grade": claim, "note": note})

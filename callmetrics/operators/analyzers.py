@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amplitude_db, amplitude_of, power_db
-from .signals import bridged, frames, hops, lengths, power, runs
+from .signals import bridged, hops, lengths, measured, pinned, power, runs
 
 FRAME_SECONDS = 0.020
 
@@ -41,19 +41,24 @@ def duration_rms(blocks: DataFrame, references: DataFrame | None = None) -> Data
     return _settled(agg, F.col("samples") == 0, columns)
 
 
+def _size() -> tuple[Column, Column]:
+    """Rate and size of a call, over rows of `measured` or `pinned`."""
+    return F.first("sample_rate").alias("sample_rate"), F.sum("n").alias("samples")
+
+
 def silence_ratio(blocks: DataFrame, frame: int = 320, threshold_dbfs: float = -50.0) -> DataFrame:
     """Share and length of silence; a frame is silent below the threshold."""
-    f = frames(blocks, frame).select("call_id", F.col("frame_idx").alias("idx"), (F.sqrt(power()) < amplitude_of(threshold_dbfs)).alias("quiet"))
-    longest = runs(f.filter("quiet"), ["call_id"]).groupBy("call_id").agg(F.max("length").alias("longest"))
+    f = measured(blocks, frame).select("call_id", "sample_rate", "n", F.col("frame_idx").alias("idx"), (F.sqrt("power") < amplitude_of(threshold_dbfs)).alias("quiet"))
+    longest = runs(f.filter("quiet").select("call_id", "idx"), ["call_id"]).groupBy("call_id").agg(F.max("length").alias("longest"))
     agg = f.groupBy("call_id").agg(
-        F.count("*").alias("frames"), F.count_if("quiet").alias("silent"), F.min(F.when(~F.col("quiet"), F.col("idx"))).alias("first_loud"), F.max(F.when(~F.col("quiet"), F.col("idx"))).alias("last_loud")
+        *_size(), F.count("idx").alias("frames"), F.count_if("quiet").alias("silent"), F.min(F.when(~F.col("quiet"), F.col("idx"))).alias("first_loud"), F.max(F.when(~F.col("quiet"), F.col("idx"))).alias("last_loud")
     )
-    df = lengths(blocks).join(agg, "call_id", "left").join(longest, "call_id", "left")
-    n = F.coalesce("frames", F.lit(0))
+    df = agg.join(longest, "call_id", "left")
+    n = F.col("frames")
     seconds = lambda c: c * frame / F.col("sample_rate")
     return _settled(df, F.col("samples") == 0, {
         "silence_ratio": F.when(n > 0, F.col("silent") / n).otherwise(0.0),
-        "silent_seconds": seconds(F.coalesce("silent", F.lit(0))),
+        "silent_seconds": seconds(F.col("silent")),
         "longest_silence_seconds": seconds(F.coalesce("longest", F.lit(0))),
         "leading_silence_seconds": seconds(F.coalesce("first_loud", n)),
         "trailing_silence_seconds": seconds(F.coalesce(n - 1 - F.col("last_loud"), n)),
@@ -63,12 +68,11 @@ def silence_ratio(blocks: DataFrame, frame: int = 320, threshold_dbfs: float = -
 
 def clipping(blocks: DataFrame, full_scale: float = 0.999, min_run: int = 3) -> DataFrame:
     """Runs of samples at full scale."""
-    x = blocks.select("call_id", "start_sample", F.posexplode("samples").alias("i", "x")).filter(F.abs(F.col("x").cast("double")) >= full_scale)
-    r = runs(x.select("call_id", (F.col("start_sample") + F.col("i")).alias("idx")), ["call_id"])
+    x = pinned(blocks, full_scale)
+    r = runs(x.filter("idx IS NOT NULL").select("call_id", "idx"), ["call_id"])
     long = F.when(F.col("length") >= min_run, F.col("length"))
     agg = r.groupBy("call_id").agg(F.sum("length").alias("pinned"), F.coalesce(F.sum(long), F.lit(0)).alias("clipped"), F.count(long).alias("events"), F.coalesce(F.max(long), F.lit(0)).alias("longest"))
-    peak = blocks.groupBy("call_id").agg(F.max(F.aggregate("samples", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v.cast("double"))))).alias("peak"))
-    df = lengths(blocks).join(peak, "call_id").join(agg, "call_id", "left")
+    df = x.groupBy("call_id").agg(*_size(), F.max("peak").alias("peak")).join(agg, "call_id", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return _settled(df, F.col("samples") == 0, {
         "clipped": n("events") > 0, "clipped_sample_ratio": n("clipped") / F.col("samples"), "clipped_seconds": n("clipped") / F.col("sample_rate"),
@@ -78,25 +82,27 @@ def clipping(blocks: DataFrame, full_scale: float = 0.999, min_run: int = 3) ->
 
 def zero_crossing_rate(blocks: DataFrame, frame: int = 320, threshold_dbfs: float = -50.0) -> DataFrame:
     """Sign changes a second within frames. A call shorter than a frame is one frame of an even number of samples."""
-    size = lengths(blocks)
-    short = size.filter((F.col("samples") >= 2) & (F.col("samples") < frame)).select("call_id", F.expr("samples div 2 * 2").cast("int").alias("n"))
+    f = measured(blocks, frame)
+    short = f.groupBy("call_id").agg(F.sum("n").alias("samples")).filter((F.col("samples") >= 2) & (F.col("samples") < frame)).select("call_id", F.expr("samples div 2 * 2").cast("int").alias("n"))
     little = blocks.join(short, "call_id").groupBy("call_id").agg(F.first("sample_rate").alias("sample_rate"), F.first("n").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start_sample", "samples"))), lambda b: b["samples"])).alias("x"))
-    f = frames(blocks, frame).select("call_id", "sample_rate", "frame").union(little.select("call_id", "sample_rate", F.slice("x", 1, F.col("n"))))
-    negative = lambda x: x.cast("string").startswith("-")  # noqa: E731  of -0.0 too
+    little = little.select("call_id", "sample_rate", F.slice("x", 1, F.col("n")).alias("frame"))
+    negative = lambda x: (x < 0) | ((x == 0) & (F.atan2(F.lit(0.0), x) > 1))  # noqa: E731  of -0.0 too
     pairs = F.zip_with(F.slice("frame", 1, F.size("frame") - 1), F.slice("frame", 2, F.size("frame") - 1), lambda a, b: (negative(a) != negative(b)).cast("int"))
-    f = f.withColumn("rate", F.aggregate(pairs, F.lit(0), lambda a, x: a + x) / (F.size("frame") / F.col("sample_rate"))).withColumn("voiced", F.sqrt(power()) >= amplitude_of(threshold_dbfs))
-    agg = f.groupBy("call_id").agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("std"), F.avg(F.when(F.col("voiced"), F.col("rate"))).alias("voiced_rate"), F.avg(F.col("voiced").cast("double")).alias("voiced_ratio"), F.count("*").alias("frames"))
-    return _settled(size.join(agg, "call_id", "left"), F.col("samples") < 2, {
+    little = little.select("call_id", "sample_rate", F.lit(None).cast("long").alias("n"), power().alias("power"), F.aggregate(pairs, F.lit(0), lambda a, x: a + x).cast("long").alias("crossings"), F.size("frame").alias("size"))
+    f = f.select("call_id", "sample_rate", "n", "power", "crossings", F.lit(frame).alias("size")).union(little)
+    rate, voiced = F.col("crossings") / (F.col("size") / F.col("sample_rate")), F.sqrt("power") >= amplitude_of(threshold_dbfs)
+    f = f.withColumns({"rate": rate, "voiced": voiced})
+    agg = f.groupBy("call_id").agg(F.sum("n").alias("samples"), F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("std"), F.avg(F.when(F.col("voiced"), F.col("rate"))).alias("voiced_rate"), F.avg(F.col("voiced").cast("double")).alias("voiced_ratio"), F.count("power").alias("frames"))
+    return _settled(agg, F.col("samples") < 2, {
         "zcr_per_second": F.col("mean"), "zcr_std": F.col("std"), "voiced_zcr_per_second": F.coalesce("voiced_rate", F.lit(0.0)), "voiced_frame_ratio": F.col("voiced_ratio"), "frames": F.col("frames"),
     })
 
 
 def snr_estimate(blocks: DataFrame, frame: int = 320, least_frames: int = 10) -> DataFrame:
     """Loud against quiet frames: the 90th and the 10th percentile of frame power."""
-    f = frames(blocks, frame).select("call_id", power().alias("p"))
-    agg = f.groupBy("call_id").agg(F.percentile("p", F.array(F.lit(0.1), F.lit(0.9))).alias("q"), F.count("*").alias("frames"))
-    df = lengths(blocks).join(agg, "call_id", "left").withColumns({"noise": F.col("q")[0], "signal": F.col("q")[1]})
-    skipped = (F.coalesce("frames", F.lit(0)) < least_frames) | (F.coalesce("signal", F.lit(0.0)) <= 0)
+    agg = measured(blocks, frame).groupBy("call_id").agg(F.percentile("power", F.array(F.lit(0.1), F.lit(0.9))).alias("q"), F.count("power").alias("frames"))
+    df = agg.withColumns({"noise": F.col("q")[0], "signal": F.col("q")[1]})
+    skipped = (F.col("frames") < least_frames) | (F.coalesce("signal", F.lit(0.0)) <= 0)
     noise, signal = F.col("noise"), F.col("signal")
     return _settled(df, skipped, {
         "snr_db": F.when(noise > 0, F.least(F.lit(100.0), 10.0 * F.log10(signal / noise))).otherwise(100.0), "noise_floor_dbfs": power_db(noise, -100.0), "signal_dbfs": power_db(signal, -100.0),
@@ -148,9 +154,9 @@ def spectral_rolloff(blocks: DataFrame, window: int = 512, step: int = 256, frac
 
 
 def _active(blocks: DataFrame, frame: int, above_db: float) -> tuple[DataFrame, DataFrame]:
-    f = frames(blocks, frame).select("call_id", F.col("frame_idx").alias("idx"), power().alias("p"))
-    level = f.groupBy("call_id").agg(F.percentile("p", 0.1).alias("noise"), F.count("*").alias("frames")).withColumn("threshold", F.when(F.col("noise") <= 0, 1e-5).otherwise(F.col("noise") * 10.0 ** (above_db / 10.0)))
-    return f.join(level, "call_id").filter("p > threshold").select("call_id", "idx"), level
+    f = measured(blocks, frame)
+    level = f.groupBy("call_id").agg(*_size(), F.percentile("power", 0.1).alias("noise"), F.count("power").alias("frames")).withColumn("threshold", F.when(F.col("noise") <= 0, 1e-5).otherwise(F.col("noise") * 10.0 ** (above_db / 10.0)))
+    return f.select("call_id", F.col("frame_idx").alias("idx"), "power").join(level.select("call_id", "threshold"), "call_id").filter("power > threshold").select("call_id", "idx"), level
 
 
 def speech_segments(blocks: DataFrame, frame: int = 320, above_db: float = 12.0, max_gap: int = 15, min_segment: int = 10) -> DataFrame:
@@ -164,10 +170,10 @@ def energy_vad(blocks: DataFrame, frame: int = 320, above_db: float = 12.0, max_
     active, level = _active(blocks, frame, above_db)
     s = bridged(active, ["call_id"], max_gap).filter(F.col("length") >= min_segment)
     agg = s.groupBy("call_id").agg(F.count("*").alias("segments"), F.sum("length").alias("speech"), F.avg("length").alias("mean"), F.max("length").alias("longest"), F.min("start").alias("first"))
-    df = lengths(blocks).join(level, "call_id", "left").join(agg, "call_id", "left")
+    df = level.join(agg, "call_id", "left")
     seconds = lambda c: c * frame / F.col("sample_rate")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return _settled(df, F.coalesce("frames", F.lit(0)) < least_frames, {
+    return _settled(df, F.col("frames") < least_frames, {
         "speech_ratio": zero("speech") / F.col("frames"), "speech_seconds": seconds(zero("speech")), "segments": zero("segments").cast("long"), "mean_segment_seconds": seconds(F.coalesce("mean", F.lit(0.0))),
         "longest_segment_seconds": seconds(zero("longest")), "first_speech_seconds": F.coalesce(seconds(F.col("first")), F.lit(-1.0)), "threshold_dbfs": 10.0 * F.log10("threshold"), "frames": F.col("frames"),
     })

@@ -69,6 +69,16 @@ def dead_letter_rows(failures: DataFrame) -> DataFrame:
     )
 
 
+def poisoned(messages: DataFrame, function: str, version: str, message: Column) -> DataFrame:
+    """Failures of messages that cannot be read: the call is what the key says, the attempt the first, and nothing is retried. A message without a readable key has no call, so it gets a dead letter and no FAILED result."""
+    call = F.when(F.is_valid_utf8(F.col("key").cast("string")), F.col("key").cast("string")).otherwise("")
+    error = F.struct(F.lit("DECODE_ERROR").alias("code"), message.alias("message"), F.lit(False).alias("retryable"))
+    return messages.select(
+        F.lit(function).alias("function_id"), F.lit(version).alias("function_version"), F.coalesce(call, F.lit("")).alias("call_id"), error.alias("error"), F.lit(1).alias("attempt"),
+        F.col("topic").alias("source_topic"), F.col("partition").alias("source_partition"), F.col("offset").alias("source_offset"), F.col("timestamp").alias("failed_at"), "key", F.col("value").alias("body"),
+    )
+
+
 def failed_results(failures: DataFrame) -> DataFrame:
     """The FAILED results that go with dead letters of readable calls; the hydrator has none."""
     kept = failures.filter(F.col("call_id").isNotNull() & (F.col("call_id") != "") & (F.col("function_id") != HYDRATOR))
@@ -139,6 +149,14 @@ def erased(df: DataFrame, erasures: DataFrame) -> DataFrame:
     return df.join(erasures.select("call_id").distinct(), "call_id", "left_anti")
 
 
+def compacted(df: DataFrame, erasures: DataFrame, path: str, partition: str) -> DataFrame:
+    """Rewrites a table partitioned by a column without the erased calls, into `path`: only partitions that hold one are written anew there, and the rows of these partitions are returned."""
+    gone = erasures.select("call_id").distinct()
+    touched = df.join(gone, "call_id", "left_semi").select(partition).distinct()
+    df.join(touched, partition, "left_semi").join(gone, "call_id", "left_anti").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tombstones(erasures: DataFrame, history: DataFrame) -> DataFrame:
     """A tombstone for every (function, version) that ever answered an erased call."""
     return history.select(*KEY).distinct().join(erasures.select("call_id").distinct(), "call_id", "left_semi").withColumn("result_key", result_key())

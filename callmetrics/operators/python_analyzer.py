@@ -64,3 +64,11 @@ def from_python(factory: Callable[[], Process]) -> Callable[[DataFrame], DataFra
             yield pd.DataFrame(rows, columns=["call_id", "status", "payload", "error", "process_seconds"])
 
     return lambda recordings: recordings.select(F.col("call_id").cast("string"), "sample_rate", "samples").mapInPandas(run, OUTCOME)
+
+
+def ad_hoc(analyze: Callable[[DataFrame], DataFrame], recordings: DataFrame, audio_id: str) -> DataFrame:
+    """An analyzer of Python on one recording (audio_id, call_id, sample_rate, samples): its outcome, the audio's seconds and the realtime multiple."""
+    one = recordings.filter(F.col("audio_id") == audio_id)
+    audio = one.select(F.col("call_id").cast("string").alias("call_id"), (F.size("samples") / F.col("sample_rate")).alias("audio_seconds"))
+    took = F.nullif(F.col("process_seconds"), F.lit(0.0))
+    return analyze(one).join(audio, "call_id").withColumn("multiple", F.col("audio_seconds") / took)

@@ -1,17 +1,24 @@
 """Recordings as blocks of samples, and blocks as frames.
 
-A block is (call_id, sample_rate, start_sample, samples). Long recordings are many rows, so no task needs one whole.
+A block is (call_id, sample_rate, start_sample, samples). Long recordings are many rows, so no task needs one whole. Blocks
+may carry `after`, the first `OVERLAP` samples of the next block, so that overlapping frames need no shuffle.
 All operators on blocks aggregate in two steps: within a block by higher-order functions, then by call.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 #: Samples in a block: a multiple of the 20 ms frames (320) and of the hops (256) of 16 kHz audio.
 BLOCK = 64_000
+#: Samples of the next block that a block carries: those that frames of 512 samples every 256 reach over its end.
+OVERLAP = 256
 #: Rows that are numbered together, about.
 BUCKET_ROWS = 1 << 22
 
@@ -21,7 +28,7 @@ def blocked(signals: DataFrame, block: int = BLOCK) -> DataFrame:
     n = F.size("samples")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(block))).otherwise(F.array(F.lit(0)))
     return signals.select("call_id", "sample_rate", "samples", F.explode(starts).alias("s")).select(
-        "call_id", "sample_rate", F.col("s").cast("long").alias("start_sample"), F.slice("samples", F.col("s") + 1, F.lit(block)).alias("samples")
+        "call_id", "sample_rate", F.col("s").cast("long").alias("start_sample"), F.slice("samples", F.col("s") + 1, F.lit(block)).alias("samples"), F.slice("samples", F.col("s") + block + 1, F.lit(OVERLAP)).alias("after")
     )
 
 
@@ -67,9 +74,76 @@ def frames(blocks: DataFrame, size: int) -> DataFrame:
     return blocks.select("call_id", "sample_rate", F.expr(f"start_sample div {size}").alias("f"), F.posexplode(cut).alias("i", "frame")).select("call_id", "sample_rate", (F.col("f") + F.col("i")).cast("long").alias("frame_idx"), "frame")
 
 
+def _flat(samples: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of a column of lists, and where each list begins and ends among them; a null list is empty."""
+    offsets = np.asarray(samples.offsets).astype(np.int64)
+    return np.asarray(samples.values.fill_null(0.0)), offsets[:-1], np.where(np.asarray(samples.is_valid()), offsets[1:], offsets[:-1])
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The concatenation of arange(start[i], start[i] + length[i])."""
+    return np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
+
+
+def measured(blocks: DataFrame, size: int) -> DataFrame:
+    """Tumbling frames by their measures alone, one pass over the samples: call_id, sample_rate, n, frame_idx, power (mean square, in doubles), crossings (changes of sign, that of -0.0 included).
+
+    `n`, the samples of the block, stands on one row of each block, also of a block without a frame, which has no other value there.
+    """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, begin, end = _flat(batch.column(3))
+            whole = (end - begin) // size
+            power, crossings = np.zeros(0), np.zeros(0, np.int64)
+            if whole.any():
+                at = _ranges(begin, whole * size)
+                frame = (x if len(at) == len(x) else x[at]).reshape(-1, size)
+                square = frame.astype(np.float64)
+                np.multiply(square, square, out=square)
+                sign = np.signbit(frame)
+                power, crossings = square.sum(axis=1) / size, (sign[:, 1:] != sign[:, :-1]).sum(axis=1)
+            rows = np.maximum(whole, 1)
+            row = np.repeat(np.arange(len(whole)), rows)
+            place = _ranges(np.zeros(len(rows), np.int64), rows)
+            there = whole[row] > 0
+            spread = np.cumsum(there) - 1
+            value = lambda v: pa.array(v[np.maximum(spread, 0)] if len(v) else np.zeros(len(row), v.dtype), mask=~there)  # noqa: B023, E731
+            index = np.asarray(batch.column(2)).astype(np.int64)[row] // size + place
+            columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((end - begin)[row], mask=place > 0), pa.array(index, mask=~there), value(power), value(crossings)]
+            yield pa.RecordBatch.from_arrays(columns, names=["call_id", "sample_rate", "n", "frame_idx", "power", "crossings"])
+
+    kind = dict(blocks.dtypes)["call_id"]
+    return blocks.select("call_id", F.col("sample_rate").cast("int"), F.col("start_sample").cast("long"), "samples").mapInArrow(measure, f"call_id {kind}, sample_rate int, n long, frame_idx long, power double, crossings long")
+
+
+def pinned(blocks: DataFrame, full_scale: float) -> DataFrame:
+    """Samples at full scale: call_id, sample_rate, n and peak (on one row of each block), idx (null on a row without such a sample)."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, begin, end = _flat(batch.column(3))
+            size = np.abs(x)
+            top = np.array([size[a:b].max(initial=0.0) for a, b in zip(begin, end, strict=True)], np.float64)
+            at = np.flatnonzero(size.astype(np.float64) >= full_scale)
+            row = np.searchsorted(begin, at, "right") - 1
+            at, row = at[at < end[row]], row[at < end[row]]
+            where = np.append(np.arange(len(begin)), row)
+            index = np.asarray(batch.column(2)).astype(np.int64)[row] + at - begin[row]
+            first = np.arange(len(where)) < len(begin)
+            columns = [batch.column(0).take(pa.array(where)), batch.column(1).take(pa.array(where)), pa.array((end - begin)[where], mask=~first), pa.array(top[where], mask=~first), pa.array(np.append(np.zeros(len(begin), np.int64), index), mask=first)]
+            yield pa.RecordBatch.from_arrays(columns, names=["call_id", "sample_rate", "n", "peak", "idx"])
+
+    kind = dict(blocks.dtypes)["call_id"]
+    return blocks.select("call_id", F.col("sample_rate").cast("int"), F.col("start_sample").cast("long"), "samples").mapInArrow(measure, f"call_id {kind}, sample_rate int, n long, peak double, idx long")
+
+
 def hops(blocks: DataFrame, window: int, step: int) -> DataFrame:
     """Overlapping frames of `window` samples every `step`; frames that span blocks take their end from the next block."""
-    after = F.lead("samples").over(Window.partitionBy("call_id").orderBy("start_sample"))
+    if "after" in blocks.columns and window - step <= OVERLAP:
+        after = F.col("after")
+    else:
+        after = F.lead("samples").over(Window.partitionBy("call_id").orderBy("start_sample"))
     joined = blocks.withColumn("x", F.concat("samples", F.coalesce(F.slice(after, 1, window - step), F.array().cast("array<float>"))))
     # A block owns the frames that begin in it.
     own = F.expr(f"greatest(0, least((size(x) - {window}) div {step} + 1, (size(samples) + {step} - 1) div {step}))")

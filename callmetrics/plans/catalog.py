@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, operations
+from . import analysis, fleet, operations
 
-QUERIES = analysis.QUERIES | operations.QUERIES
-SQL = analysis.SQL | operations.SQL
+QUERIES = analysis.QUERIES | operations.QUERIES | fleet.QUERIES
+SQL = analysis.SQL | operations.SQL | fleet.SQL

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import backoff_seconds, explode_payload, hash_bucket, truncated_bytes
 from ..operators import accounting as C
 from ..operators import delivery as V
+from ..operators import fleet
 from ..sources import events as E
 from ..sources import records as R
 from . import adapters as D
@@ -61,7 +62,7 @@ SELECT function_id, max(CASE WHEN i = least(n - 1, CAST(round_even(0.5 * (n - 1)
 """)
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = D.results(spark, sf_dir).withColumn("seconds", C.seconds_between("started_at", "completed_at"))
-    return C.nearest_rank(r, ["function_id"], "seconds", [50, 95])
+    return fleet.nearest_ranks(r, ["function_id"], "seconds", [50, 95])
 
 
 @query("realtime_multiple", "WITH" + D.RESULTS + "," + D.REFERENCES + """
@@ -130,7 +131,7 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.drift(D.declared(spark), D.event_log(spark, sf_dir))
 
 
-def _suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers as declarations, and the topics of every second and third of them, with a number of partitions by nation."""
     n, key = D.table(spark, sf_dir, "supplier"), F.col("s_suppkey")
     name = lambda kind: F.concat(F.lit(f"calls.{kind}."), key.cast("string"))
@@ -150,7 +151,7 @@ UNION ALL SELECT 'warning', subject, 'declares fewer partitions than there are'
 UNION ALL SELECT 'warning', subject, 'dead-letter topic is missing' FROM d WHERE k % 3 <> 0
 """)
 def config_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.lint(*_suppliers(spark, sf_dir))
+    return C.lint(*suppliers(spark, sf_dir))
 
 
 @query("topic_plan", """
@@ -158,7 +159,7 @@ SELECT 'calls.raw' AS name, 12 AS partitions UNION ALL SELECT 'calls.internal',
 UNION ALL SELECT 'calls.results.' || CAST(s_suppkey AS VARCHAR), CAST(s_suppkey % 9 + 1 AS INTEGER) FROM supplier UNION ALL SELECT 'calls.dlq.' || CAST(s_suppkey AS VARCHAR), 3 FROM supplier
 """)
 def topic_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.topic_plan(_suppliers(spark, sf_dir)[0])
+    return C.topic_plan(suppliers(spark, sf_dir)[0])
 
 
 @query("group_lag", "WITH" + D.OFFSETS + """
@@ -301,8 +302,7 @@ def retry_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT function_id, round(quantile_cont(process_seconds, 0.5), 6) AS p50, round(quantile_cont(process_seconds, 0.95), 6) AS p95, round(quantile_cont(process_seconds, 0.99), 6) AS p99 FROM log GROUP BY function_id
 """)
 def processing_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = D.event_log(spark, sf_dir).groupBy("function_id").agg(F.percentile("process_seconds", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("q"))
-    return q.select("function_id", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    return fleet.quantiles(D.event_log(spark, sf_dir), ["function_id"], "process_seconds", [0.5, 0.95, 0.99])
 
 
 @query("cohorts", """

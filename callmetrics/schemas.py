@@ -17,7 +17,7 @@ DECLARATIONS = (
     "in_flight INT, per_file_timeout_seconds DOUBLE, retry_budget INT, retry_backoff_seconds DOUBLE, retry_backoff_max_seconds DOUBLE, payload_schema STRING"
 )
 MESSAGES = "topic STRING, partition INT, offset BIGINT, key BINARY, value BINARY, timestamp TIMESTAMP, headers MAP<STRING, BINARY>"
-BLOCKS = "call_id STRING, sample_rate INT, start_sample BIGINT, samples ARRAY<FLOAT>"
+BLOCKS = "call_id STRING, sample_rate INT, start_sample BIGINT, samples ARRAY<FLOAT>, after ARRAY<FLOAT>"
 
 #: Fixed values of the envelope.
 STATUSES = ("SUCCESS", "FAILED", "SKIPPED")

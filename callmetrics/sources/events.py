@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import DECLARATIONS
+from ..functions import result_key, text_of
+from ..schemas import DECLARATIONS, ERROR, STATUSES
 
 
 def normalised(logs: DataFrame, attributes: str = "attributes") -> DataFrame:
@@ -43,6 +44,40 @@ def reference_of_json(messages: DataFrame) -> DataFrame:
     )
 
 
+_RESULT = ("envelope_version", "call_id", "function_id", "function_version", "status", "payload", "payload_ref", "payload_content_type", "payload_schema_version", "input_object_key", "input_offset", "attempt")
+_TIMES = ("ingested_at", "started_at", "completed_at")
+
+
+def result_json(results: DataFrame) -> DataFrame:
+    """Results as JSON messages: key (the composite key), partition_key (the call), headers and value. Columns that a result lacks are left out."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias(c)
+    fields = [F.col(c) for c in _RESULT if c in results.columns] + [iso(c) for c in _TIMES if c in results.columns] + [F.col("error")] * ("error" in results.columns)
+    headers = F.create_map(*[x for c in ("function_id", "function_version", "status") for x in (F.lit(c), F.col(c).cast("string"))])
+    return results.select(result_key().alias("key"), F.col("call_id").alias("partition_key"), headers.alias("headers"), F.to_json(F.struct(*fields)).alias("value"))
+
+
+def result_of_json(messages: DataFrame) -> DataFrame:
+    """Results of JSON messages. What is not JSON, lacks a key, has no known status, or has both a payload and a reference, gets error_code DECODE_ERROR; an unknown status reads as null."""
+    j = F.from_json("value", ", ".join([*(f"{c} {kind}" for c, kind in zip(_RESULT, ["INT", *["STRING"] * 9, "BIGINT", "INT"], strict=True)), *(f"{c} STRING" for c in _TIMES), f"error {ERROR}"]))
+    d = messages.select(j.alias("j")).select("j.*")
+    known = F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))
+    named = F.lit(True)
+    for c in ("call_id", "function_id", "function_version"):
+        named = named & (F.coalesce(F.col(c), F.lit("")) != "")
+    good = known & named & ~(F.col("payload").isNotNull() & F.col("payload_ref").isNotNull())
+    return d.withColumns({"envelope_version": F.coalesce(F.nullif("envelope_version", F.lit(0)), F.lit(1)), "status": F.when(known, F.col("status")), "error_code": F.when(~good, "DECODE_ERROR")} | {c: F.try_to_timestamp(c) for c in _TIMES})
+
+
+def header(name: str, default: str = "", headers: str = "headers") -> Column:
+    """A header of a message (a map of bytes) as text, or the default where it is absent."""
+    return F.coalesce(text_of(F.col(headers)[name]), F.lit(default))
+
+
+def call_of_key(key: str = "key") -> Column:
+    """The call that a message's key names: empty if there is no key or it is not UTF-8."""
+    return F.when(F.is_valid_utf8(F.col(key).cast("string")), F.col(key).cast("string")).otherwise("")
+
+
 #: Values of a declaration that are not given.
 DEFAULTS = {
     "input_topic": "calls.internal", "results_topic": "calls.results", "results_topic_partitions": 200, "in_flight": 1, "per_file_timeout_seconds": 300.0,
@@ -70,5 +105,5 @@ def declarations(spark: SparkSession, given: list[dict]) -> tuple[DataFrame, Dat
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Expected calls of a JSON file with a list `records`."""
-    schema = "records ARRAY<STRUCT<call_id: STRING, audio_id: STRING, expect: STRING, seconds: DOUBLE>>"
+    schema = "records ARRAY<STRUCT<call_id: STRING, audio_id: STRING, expect: STRING, filename: STRING, seconds: DOUBLE>>"
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("records"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import object_key, text_of
-from ..operators.signals import BLOCK
+from ..operators.signals import BLOCK, OVERLAP
 from ..schemas import CANONICAL
 
 
@@ -87,7 +87,7 @@ def hydrated(good: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def wav_blocks(recordings: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of 16-bit PCM WAV recordings: call_id, content, sample_rate (claimed) in; call_id, sample_rate, start_sample, samples, error_code out.
+    """Blocks of 16-bit PCM WAV recordings: call_id, content, sample_rate (claimed) in; call_id, sample_rate, start_sample, samples, after, error_code out.
 
     Bad bytes, another rate and more than one channel each give one row with an error and no samples.
     """
@@ -97,9 +97,9 @@ def wav_blocks(recordings: DataFrame, block: int = BLOCK) -> DataFrame:
             for call, raw, claimed in zip(pdf["call_id"], pdf["content"], pdf["sample_rate"], strict=True):
                 error, rate, samples = _wav(raw, claimed)
                 starts = range(0, max(1, len(samples)), block)
-                yield pd.DataFrame({"call_id": call, "sample_rate": rate, "start_sample": list(starts), "samples": [samples[i : i + block].tolist() for i in starts], "error_code": error})
+                yield pd.DataFrame({"call_id": call, "sample_rate": rate, "start_sample": list(starts), "samples": [samples[i : i + block] for i in starts], "after": [samples[i + block : i + block + OVERLAP] for i in starts], "error_code": error})
 
-    return recordings.select("call_id", "content", "sample_rate").mapInPandas(decode, "call_id string, sample_rate int, start_sample long, samples array<float>, error_code string")
+    return recordings.select("call_id", "content", "sample_rate").mapInPandas(decode, "call_id string, sample_rate int, start_sample long, samples array<float>, after array<float>, error_code string")
 
 
 def _wav(raw: bytes | None, claimed: int) -> tuple[str | None, int, np.ndarray]:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import backoff_seconds
 from ..operators.accounting import rates
-from ..operators.delivery import KEY, claim_checked, dead_letter_rows, failed_results, latest, routed
+from ..operators.delivery import KEY, claim_checked, dead_letter_rows, failed_results, latest, routed, with_keys
+from ..operators.fleet import terminal_events
 from ..sources.records import canonical_gate, decoded, fetched, hydrated, streaminfo
 
 
@@ -27,29 +30,40 @@ def file_messages(spark: SparkSession, path: str, schema: str, per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
-def overwrite_latest(batch: DataFrame, path: str, key: list[str], order: list[str]) -> None:
-    """Adds a batch to a keyed table. Readers take the latest row of each key (`latest`), so a batch that is written twice changes nothing."""
-    latest(batch, key, order).write.mode("append").parquet(path)
+def land(df: DataFrame, path: str, batch_id: int, *partition: str) -> None:
+    """Writes a micro-batch's rows below `batch=<id>`, in place of what is there: a batch that is run again changes nothing. Readers see `batch` as a column."""
+    df.write.mode("overwrite").partitionBy(*partition).parquet(f"{path}/batch={batch_id}")
 
 
-def hydration(messages: DataFrame, recordings: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
-    """Ingest of call records: recordings are stored before the references that point to them, failures go to the hydrator's dead letters."""
+def overwrite_latest(batch: DataFrame, batch_id: int, path: str, key: list[str], order: list[str]) -> None:
+    """Adds a batch's last rows of each key to a keyed table; readers take the latest of all batches (`latest`)."""
+    land(latest(batch, key, order), path, batch_id)
 
-    def land(batch: DataFrame, batch_id: int) -> None:
-        records = fetched(decoded(batch), recordings)
+
+Decoder = Callable[[DataFrame], DataFrame]
+
+
+def hydration(messages: DataFrame, recordings: DataFrame, out: str, checkpoint: str, *, decode: Decoder = decoded) -> DataStreamWriter:
+    """Ingest of call records: recordings are stored before the references that point to them, failures go to the hydrator's dead letters.
+
+    `decode` gives messages call_id, audio_id, ingested_at and error_code.
+    """
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        records = fetched(decode(batch), recordings)
         bad = F.col("error_code").isNotNull()
         checked = records.filter(~bad).drop("error_code").withColumns(streaminfo())
         checked = canonical_gate(checked).persist()
         try:
             good = checked.filter("error_code IS NULL")
-            good.select("call_id", F.concat("call_id", F.lit(".flac")).alias("object_key"), "content").write.mode("append").parquet(f"{out}/objects")
-            hydrated(good).write.mode("append").parquet(f"{out}/references")
+            land(good.select("call_id", F.concat("call_id", F.lit(".flac")).alias("object_key"), "content"), f"{out}/objects", batch_id)
+            land(hydrated(good), f"{out}/references", batch_id)
             lost = records.filter(bad).select("raw", "call_id", "error_code").unionByName(checked.filter("error_code IS NOT NULL").select("raw", "call_id", "error_code"))
-            lost.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{out}/hydration_failures")
+            land(lost, f"{out}/hydration_failures", batch_id)
         finally:
             checked.unpersist()
 
-    return messages.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+    return messages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
 
 
 def analysis(outcomes: DataFrame, out: str, checkpoint: str, function: str, version: str) -> DataStreamWriter:
@@ -58,25 +72,85 @@ def analysis(outcomes: DataFrame, out: str, checkpoint: str, function: str, vers
     Outcomes have the columns of results and retry_budget, retry_backoff_seconds, retry_backoff_max_seconds, key, body,
     source_topic, source_partition, source_offset, failed_at.
     """
+    at = f"{function}-{version}"
 
     def route(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            done = claim_checked(batch.filter("status <> 'FAILED'"))
-            done.filter("large_payload IS NOT NULL").select("payload_ref", "large_payload").write.mode("append").parquet(f"{out}/large_payloads")
-            failures = routed(batch.filter("status = 'FAILED'").withColumn("retryable", F.col("error.retryable")))
-            dead = failures.filter("route = 'DLQ'")
-            columns = [*KEY, "status", "error", "input_object_key", "attempt"]
-            lasting = failed_results(dead).select(*columns)
-            done.select(*columns, "payload", "payload_ref").unionByName(lasting, allowMissingColumns=True).withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{out}/results")
-            dead_letter_rows(dead).write.mode("append").partitionBy("function_id").parquet(f"{out}/dead_letters")
-            retry_rows(failures.filter("route = 'RETRY'")).write.mode("append").parquet(f"{out}/retry_queue")
+            _route(batch, batch_id, out, at)
         finally:
             batch.unpersist()
 
     return outcomes.writeStream.foreachBatch(route).option("checkpointLocation", f"{checkpoint}/{function}/{version}")
 
 
+def _route(batch: DataFrame, batch_id: int, out: str, at: str) -> None:
+    done = claim_checked(batch.filter("status <> 'FAILED'"))
+    land(done.filter("large_payload IS NOT NULL").select("payload_ref", "large_payload"), f"{out}/large_payloads/of={at}", batch_id)
+    failures = routed(batch.filter("status = 'FAILED'").withColumn("retryable", F.col("error.retryable")))
+    dead = failures.filter("route = 'DLQ'")
+    columns = [*KEY, "status", "error", "input_object_key", "attempt"]
+    lasting = failed_results(dead).select(*columns)
+    results = done.select(*columns, "payload", "payload_ref").unionByName(lasting, allowMissingColumns=True).withColumn("envelope_version", F.lit(1))
+    land(with_keys(results), f"{out}/results/of={at}", batch_id)
+    land(dead_letter_rows(dead), f"{out}/dead_letters/of={at}", batch_id, "function_id")
+    land(retry_rows(failures.filter("route = 'RETRY'")), f"{out}/retry_queue/of={at}", batch_id)
+
+
+def retry_loop(references: DataFrame, analyze: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, function: str, version: str, now: Callable[[], object]) -> DataStreamWriter:
+    """Analysis with retries: each micro-batch of references also runs what is due of the retry queue, with the attempt that the queue says.
+
+    `analyze` takes references with `attempt` and gives outcomes as `analysis` takes them. Retries name their call only,
+    so the references of earlier batches are kept beside the queue. A retry is taken once: what a batch took is written
+    under its number before its outcomes are. `now` gives the time by which retries are due.
+    """
+    at = f"{function}-{version}"
+    queue, seen, taken = (f"{out}/{name}/of={at}" for name in ("retry_queue", "seen", "retries_taken"))
+
+    def there(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+        try:
+            return spark.read.parquet(path).filter(F.col("batch") < batch_id)
+        except AnalysisException:  # nothing was written yet
+            return None
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        land(batch, seen, batch_id)
+        fresh = batch.withColumn("attempt", F.lit(1))
+        waiting, before, known = there(spark, queue, batch_id), there(spark, taken, batch_id), there(spark, seen, batch_id)
+        if waiting is not None and known is not None:
+            again = due(waiting.select(*KEY, "attempt", "due_at"), F.lit(now()).cast("timestamp")).drop("due_at")
+            if before is not None:
+                again = again.join(before.select(*KEY, "attempt"), [*KEY, "attempt"], "left_anti")
+            land(again, taken, batch_id)
+            again = spark.read.schema(again.schema).parquet(f"{taken}/batch={batch_id}")
+            once = latest(known, ["call_id"], ["batch"]).drop("batch")
+            fresh = fresh.unionByName(once.join(again.select("call_id", "attempt"), "call_id"))
+        outcomes = analyze(fresh).persist()
+        try:
+            _route(outcomes, batch_id, out, at)
+        finally:
+            outcomes.unpersist()
+
+    return references.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/{function}/{version}")
+
+
+def live_tail(events: DataFrame, path: str, checkpoint: str, since: Column | None = None) -> DataStreamWriter:
+    """Terminal events of a stream, newer than a cursor, to a table; `newest` shows the last of them."""
+    found = terminal_events(events, since)
+    return found.writeStream.foreachBatch(lambda batch, batch_id: land(batch, path, batch_id)).option("checkpointLocation", checkpoint)
+
+
+def newest(tail: DataFrame, most: int = 300) -> DataFrame:
+    """The newest events of a tail, newest first."""
+    return tail.orderBy(F.desc("at"), "call_id").limit(most)
+
+
+def progress_rows(query: StreamingQuery, group: str) -> list[tuple[str, str]]:
+    """Progress reports of a running query as rows (group_id, json) for `fleet.progress_offsets`; Spark keeps a bounded number of them."""
+    return [(group, p.json if hasattr(p, "json") else json.dumps(p)) for p in query.recentProgress]
+
+
 def retry_rows(failures: DataFrame) -> DataFrame:
     """Failures that are to be run again: next attempt, and when it is due."""
     delay = backoff_seconds(F.col("attempt"), F.col("retry_backoff_seconds"), F.col("retry_backoff_max_seconds"))
@@ -159,18 +233,24 @@ def run_available(writer: DataStreamWriter) -> None:
 def backfill(spark: SparkSession, path: str, schema: str, analyze: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 100) -> None:
     """A new version of a function over history, at its own pace and with its own checkpoint."""
     stream = file_messages(spark, path, schema, files_per_batch)
-    run_available(stream.writeStream.foreachBatch(lambda batch, _: analyze(batch).write.mode("append").parquet(out)).option("checkpointLocation", checkpoint))
+    run_available(stream.writeStream.foreachBatch(lambda batch, batch_id: land(analyze(batch), out, batch_id)).option("checkpointLocation", checkpoint))
 
 
 def chain_depth(edges: DataFrame, most: int = 5) -> DataFrame:
     """Depth of each function in the graph of who consumes whose results (upstream, downstream); more than `most` levels, or a cycle, is an error.
 
-    Levels come from joins over the declared edges, which are configuration.
+    Levels come from joins over the declared edges, which are configuration. A function on a cycle, or behind one, has no
+    depth and is not allowed.
     """
+    names = edges.select(F.col("upstream").alias("function_id")).union(edges.select("downstream")).distinct()
     level = edges.select(F.col("upstream").alias("function_id")).subtract(edges.select("downstream")).withColumn("depth", F.lit(1))
     found = level
     for depth in range(2, most + 2):
         level = level.join(edges, level["function_id"] == edges["upstream"]).select(F.col("downstream").alias("function_id"), F.lit(depth).alias("depth")).distinct()
         found = found.unionByName(level)
-    out = found.groupBy("function_id").agg(F.max("depth").alias("depth"))
-    return out.withColumn("allowed", F.col("depth") <= most)
+    out = names.join(found.groupBy("function_id").agg(F.max("depth").alias("depth")), "function_id", "left")
+    looped = names.join(out.filter("depth IS NULL"), "function_id", "left_semi").withColumn("loop", F.lit(True))
+    for _ in range(most):
+        looped = looped.union(looped.join(edges, looped["function_id"] == edges["upstream"]).select(F.col("downstream"), F.lit(True))).distinct()
+    out = out.join(looped, "function_id", "left").withColumn("depth", F.when(F.col("loop").isNull(), F.col("depth")))
+    return out.select("function_id", "depth", F.coalesce(F.col("depth") <= most, F.lit(False)).alias("allowed"))
