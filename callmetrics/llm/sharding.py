@@ -6,12 +6,13 @@ in the table in constant time. Shards get equal numbers of slots to within one,
 few slots change hands.
 
 The table has `size` rows, whatever the data holds, so it is broadcast. A null key has a slot of its own by the same
-hash. Repeated keys go to the same shard. An empty table gives no rows.
+hash. Repeated keys go to the same shard. Other columns stay as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ def table(shards: list[str], size: int = TABLE_SIZE) -> np.ndarray:
     """For each slot the index of its shard."""
     if not shards or len(set(shards)) != len(shards) or len(shards) > size:
         raise ValueError("shards must be distinct, at least one and no more than slots")
+    if size < 2 or any(size % k == 0 for k in range(2, math.isqrt(size) + 1)):
+        raise ValueError("the table's size must be a prime: only then does every permutation reach every slot")
     seeds = [hashlib.blake2b(name.encode(), digest_size=16).digest() for name in shards]
     at = [int.from_bytes(s[:8], "little") % size for s in seeds]
     skip = [int.from_bytes(s[8:], "little") % (size - 1) + 1 for s in seeds]
