@@ -1,11 +1,12 @@
 """Intermediate tables in the folder that driver and executors share.
 
-`spark.checkpoint.dir` names that folder. Only where it is unset, as in tests on one machine, a temporary folder
-is used. A written table cuts the lineage: a lost executor costs the running tasks, not the work before the table.
+`spark.checkpoint.dir` names that folder. Only where it is unset and Spark runs on one machine, as in tests, a temporary
+folder is used; on a cluster without it there is an error, as executors would not see each other's files. A written table cuts the lineage: a lost executor costs the running tasks, not the work before the table.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,8 @@ def folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-llm-"))
         base = _LOCAL[0]
