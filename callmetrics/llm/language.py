@@ -3,12 +3,14 @@
 The network reads a word's bytes forwards and backwards and gives every position a distribution over the languages;
 a document's probabilities are the mean over all positions of its words. It is trained in numpy by backpropagation
 through time on the driver, on a sample of labelled documents whose size is bounded by `SAMPLE_DOCS` documents a
-language and `SAMPLE_CHARS` characters of each, taken at a place given by a hash. It labels whole texts: a slice's
-distinct words are run once and their positions' labels counted as often as the words occur.
+language and `SAMPLE_CHARS` characters of each, taken at a place given by a hash. Every language that is given is learned.
+It labels whole texts: a slice's distinct words are run once and their positions' labels counted as often as the words
+occur.
 
 A text that is null or has no letter is `und` with score 0. Without a single labelled document all texts are. Words
 are runs of ASCII letters and bytes beyond ASCII, A-Z lower-cased; runs of more than `WORD_BYTES` bytes are read in
-pieces. Of equal probabilities the language that sorts first wins. Repeated rows are judged each for itself.
+pieces. Of equal probabilities the language that sorts first wins. Repeated rows are judged each for itself. An empty
+table gives no rows, and so does not teach; other columns stay, but those named like the results are replaced by them.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from . import kernel as K
 
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 3000
-LANGUAGES = 64
 WORD_BYTES = 24
 UNKNOWN = "und"
 
@@ -51,11 +52,11 @@ class Network:
     weights: dict[str, np.ndarray]
 
     @staticmethod
-    def new(names: list[str], hidden: int = 16, seed: int = 7) -> Network:
-        rng = np.random.default_rng(seed)
+    def new(names: list[str], hidden: int = 16, seed: int = 7, classes: int | None = None) -> Network:
+        rng, classes = np.random.default_rng(seed), classes or len(names)
         make = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0] if shape[0] != 256 else 16)).astype(np.float32)
         w = {f"{d}{k}": make(*shape) for d in "fb" for k, shape in (("x", (256, 3 * hidden)), ("u", (hidden, 2 * hidden)), ("c", (hidden, hidden)))}
-        return Network(names, w | {"out": make(2 * hidden, len(names)), "bias": np.zeros(len(names), np.float32)})
+        return Network(names, w | {"out": make(2 * hidden, classes), "bias": np.zeros(classes, np.float32)})
 
     @property
     def hidden(self) -> int:
@@ -127,9 +128,9 @@ class Network:
         return grad
 
 
-def train(words: np.ndarray, length: np.ndarray, target: np.ndarray, names: list[str], *, epochs: int = 4, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
+def train(words: np.ndarray, length: np.ndarray, target: np.ndarray, names: list[str], *, epochs: int = 4, batch: int = 256, rate: float = 0.01, seed: int = 7, classes: int | None = None) -> Network:
     """Adam over batches of words."""
-    net, rng = Network.new(names, seed=seed), np.random.default_rng(seed)
+    net, rng = Network.new(names, seed=seed, classes=classes), np.random.default_rng(seed)
     one, two, step = {k: np.zeros_like(v) for k, v in net.weights.items()}, {k: np.zeros_like(v) for k, v in net.weights.items()}, 0
     steps = epochs * -(-len(words) // batch)
     for _ in range(epochs):
@@ -173,33 +174,43 @@ def probabilities(net: Network, t: K.Texts) -> np.ndarray:
     t = t.lowered()
     w = _words(t)
     _, at, inverse = K.distinct(K.span_hash(t.data, w.start, w.end))
-    sums = np.zeros((len(at), len(net.names)))
+    sums = np.zeros((len(at), len(net.weights["bias"])))
     words, length, order = _matrix(t.data, w.start[at], w.end[at])
     for i in range(0, len(order), 8192):
         part = slice(i, i + 8192)
         for p in net.label(words[part], length[part]):
             sums[order[part][: len(p)]] += p
     sizes = np.bincount(w.doc, w.end - w.start, minlength=len(t.starts))
-    out = np.stack([np.bincount(w.doc, sums[inverse, k], minlength=len(t.starts)) for k in range(len(net.names))], axis=1)
+    out = np.stack([np.bincount(w.doc, sums[inverse, k], minlength=len(t.starts)) for k in range(sums.shape[1])], axis=1)
     return out / np.maximum(sizes, 1)[:, None]
 
 
 def _thinned(labelled: DataFrame, sample: int) -> tuple[DataFrame, list[str]]:
     """About `sample` rows of each language, chosen by a hash of the id, and the languages."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()  # a row for each language
     names = sorted(r["lang"] for r in counts)
     if not names:
         return labelled.limit(0), names
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])
+    some = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in counts], "lang string, _share double")
     chance = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return labelled.filter(chance < F.element_at(share, F.col("lang"))), names
+    return labelled.join(F.broadcast(some), "lang").filter(chance < F.col("_share")).drop("_share"), names
 
 
-def fit(labelled: DataFrame, *, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, words_each: int = 12_000, seed: int = 7) -> Network | None:
-    """A network from doc_id, text and lang; null if there is no language.
+def _chance_words(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of letters drawn by chance, half of them from a to z, half from one of many alphabets each: bytes, starts, ends."""
+    out = []
+    for _ in range(n):
+        size, low = int(rng.integers(2, 11)), int(rng.integers(0xC0, 0xD000))
+        letters = rng.integers(97, 123, size) if rng.random() < 0.5 else rng.integers(low, low + 64, size)
+        out.append("".join(map(chr, letters)).encode()[:WORD_BYTES])
+    ends = np.cumsum([len(w) for w in out])
+    return np.frombuffer(b"".join(out), np.uint8), np.append(0, ends[:-1]), ends
 
-    The sample has about `sample` documents a language (at most `LANGUAGES` of them) and at most `chars` characters
-    of each. Of these, `words_each` words a language are learned.
+
+def fit(labelled: DataFrame, *, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, words_each: int = 12_000, seed: int = 7, background: bool = False) -> Network | None:
+    """A network from doc_id, text and lang; null if there is no language. With `background` it also learns words of chance letters, as a last class without a name.
+
+    The sample has about `sample` documents a language and at most `chars` characters of each. Of these, `words_each` words a language are learned.
     """
     chosen, names = _thinned(labelled.filter("text IS NOT NULL AND lang IS NOT NULL"), sample)
     if not names:
@@ -212,15 +223,23 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_C
     rng = np.random.default_rng(seed)
     pick = [np.flatnonzero(target == k) for k in range(len(names))]
     pick = np.concatenate([rng.permutation(p)[:words_each] for p in pick]).astype(np.int64)
-    words, length, order = _matrix(t.data, w.start[pick], w.end[pick])
-    return train(words, length, target[pick][order], names, seed=seed) if len(pick) else None
-
-
-def identify(docs: DataFrame, net: Network | None, *, text_column: str = "text") -> DataFrame:
-    """The rows with `lang_pred` and `score`; columns of these names are replaced."""
-    kept = docs.drop("lang_pred", "score")
+    if not len(pick):
+        return None
+    data, start, end, target = t.data, w.start[pick], w.end[pick], target[pick]
+    if background:
+        more, first, last = _chance_words(words_each, rng)
+        data, start, end = np.append(data, more), np.append(start, first + len(data)), np.append(end, last + len(data))
+        target = np.append(target, np.full(len(first), len(names)))
+    words, length, order = _matrix(data, start, end)
+    return train(words, length, target[order], names, seed=seed, classes=len(names) + background)
+
+
+def identify(docs: DataFrame, net: Network | None, *, text_column: str = "text", names: tuple[str, str] = ("lang_pred", "score"), chance: str | None = None) -> DataFrame:
+    """The rows with the language and its score, named `names`, and the probability of the class of chance letters, named `chance`; columns of these names are replaced."""
+    (pred, score), extra = names, [chance] if chance else []
+    kept = docs.drop(*names, *extra)
     if net is None:
-        return kept.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return kept.withColumns({pred: F.lit(UNKNOWN), score: F.lit(0.0)} | {c: F.lit(0.0) for c in extra})
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,13 +248,16 @@ def identify(docs: DataFrame, net: Network | None, *, text_column: str = "text")
             at = batch.schema.get_field_index(text_column)
             for s in K.slices(batch, at):
                 p = probabilities(network, K.texts(s.column(at)))
+                other = p[:, len(network.names) :].sum(axis=1)
+                p = p[:, : len(network.names)]
                 best = p.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array([network.names[i] for i in best], pa.string()), pa.array(p[np.arange(len(p)), best])], names=[*s.schema.names, "lang_pred", "score"])
+                columns = [*s.columns, pa.array([network.names[i] for i in best], pa.string()), pa.array(p[np.arange(len(p)), best])] + [pa.array(other)] * len(extra)
+                yield pa.RecordBatch.from_arrays(columns, names=[*s.schema.names, pred, score, *extra])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField(pred, T.StringType()), *(T.StructField(c, T.DoubleType()) for c in (score, *extra))])
     found = kept.mapInArrow(rows, schema)
-    letters = F.coalesce(F.rlike(F.col(text_column), F.lit(r"\p{L}")), F.lit(False)) & (F.col("score") > 0)
-    return found.withColumns({"lang_pred": F.when(letters, F.col("lang_pred")).otherwise(UNKNOWN), "score": F.when(letters, F.least("score", F.lit(1.0))).otherwise(0.0)})
+    letters = F.coalesce(F.rlike(F.col(text_column), F.lit(r"\p{L}")), F.lit(False)) & (F.col(score) > 0)
+    return found.withColumns({pred: F.when(letters, F.col(pred)).otherwise(UNKNOWN), score: F.when(letters, F.least(score, F.lit(1.0))).otherwise(0.0)})
 
 
 def held_out() -> Column:
@@ -243,10 +265,21 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
-def query_docs(docs: DataFrame) -> DataFrame:
-    """doc_id, text and all other columns with held_out, lang_pred and score."""
-    net = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
-    return identify(docs, net).withColumn("held_out", held_out())
+def accepted(docs: DataFrame, *, text_column: str = "text", most: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose text is in a language that was learned: texts without letters go, and those whose positions look more like chance than like any language."""
+    net = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"), background=True)
+    if net is None:
+        return docs.limit(0)
+    names = tuple(_free(docs, n) for n in ("language", "certainty", "chance"))
+    found = identify(docs, net, text_column=text_column, names=names[:2], chance=names[2])
+    return found.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[2]) <= most)).select(*docs.columns)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
