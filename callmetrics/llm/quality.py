@@ -6,7 +6,7 @@ bit in common. New versions of a policy, and the effect of leaving a rule out, a
 the texts are not read again.
 
 Null and empty texts have no words and no symbols. Lines are compared byte for byte. Repeated rows are judged each
-for itself; columns other than the two named are not read.
+for itself; columns other than the two named are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -93,30 +93,42 @@ def ledger(docs: DataFrame, rules: dict[str, str] = RULES, *, id_column: str = "
     """doc_id, the measurements, and `failed`, the mask of failed rules."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     rows = rows.mapInArrow(_measured, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = [F.when(F.expr(condition), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, condition in enumerate(rules.values())]
-    mask = bits[0]
-    for bit in bits[1:]:
-        mask = mask.bitwiseOR(bit)
-    return rows.withColumn("failed", mask)
+    return rows.withColumn("failed", _mask_of(rules))
 
 
-def passing(docs: DataFrame, policy: tuple[str, ...], rules: dict[str, str] = RULES, *, text_column: str = "text") -> DataFrame:
-    """The documents, all columns, that pass a policy. The measurements go along with the rows, so nothing is joined."""
-    names = [f"_measure_{m}" for m in MEASURES]
+def _mask_of(rules: dict[str, str]) -> Column:
+    """The mask of failed rules of a row with the measurements."""
+    whole = F.lit(0).cast("long")
+    for i, condition in enumerate(rules.values()):
+        whole = whole.bitwiseOR(F.when(F.expr(condition), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    return whole
+
+
+def booked(docs: DataFrame, rules: dict[str, str] = RULES, *, text_column: str = "text", book: str = "ledger") -> DataFrame:
+    """The documents, all columns, with their ledger entry in one column: a struct of the measurements and `failed`. A column of that name is replaced."""
+    kept = docs.drop(book)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_column)
             for s in K.slices(batch, at):
                 found = measure(K.texts(s.column(at)))
-                yield pa.RecordBatch.from_arrays([*s.columns, *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], names=[*s.schema.names, *names])
+                entry = pa.StructArray.from_arrays([pa.array(found[m].astype(np.int64)) for m in MEASURES], names=list(MEASURES))
+                yield pa.RecordBatch.from_arrays([*s.columns, entry], names=[*s.schema.names, book])
+
+    entry = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
+    wide = kept.mapInArrow(rows, T.StructType([*kept.schema.fields, T.StructField(book, entry)]))
+    inside = {name: re.sub(r"\b(" + "|".join(MEASURES) + r")\b", lambda m: f"`{book}`.{m[1]}", condition) for name, condition in rules.items()}
+    return wide.withColumn(book, F.col(book).withField("failed", _mask_of(inside)))
 
-    wide = docs.mapInArrow(rows, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
-    bad = F.lit(False)
-    for rule in policy:
-        condition = re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"_measure_\1", rules[rule])
-        bad = bad | F.expr(condition)
-    return wide.filter(~bad).drop(*names)
+
+def passing(docs: DataFrame, policy: tuple[str, ...], rules: dict[str, str] = RULES, *, text_column: str = "text") -> DataFrame:
+    """The documents, all columns, that pass a policy: its mask and their ledger's have no bit in common."""
+    book = "ledger"
+    while book in {c.lower() for c in docs.columns}:
+        book += "_"
+    found = booked(docs, rules, text_column=text_column, book=book)
+    return found.filter(F.col(book)["failed"].bitwiseAND(F.lit(mask(policy, rules))) == 0).select(*docs.columns)
 
 
 def mask(policy: tuple[str, ...], rules: dict[str, str] = RULES) -> int:
@@ -141,6 +153,11 @@ def judged(docs: DataFrame) -> DataFrame:
     return ledger(docs).select("doc_id", *MEASURES[:5], "failed", (~passes(POLICIES["base"])).alias("base_failed"), passes(POLICIES["v1"]).alias("kept"))
 
 
+def ablated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effect of each rule of the policy on all documents, from the ledger's bits alone."""
+    return ablation(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), POLICIES["v1"])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: rules on all documents."""
     return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
