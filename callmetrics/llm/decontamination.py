@@ -5,11 +5,14 @@ order of their hashes, and for each term the places, counted over the shard's wo
 built where the documents are read and written as a table, so no posting is shuffled.
 
 A query phrase is looked up in each shard: its rarest term there proposes places, and the other terms' lists, moved
-by their offsets in the phrase, are intersected with them from the rarest to the most frequent. Phrases come in
-blocks of bounded size; each block is one pass over the index, so nothing grows with the benchmark.
+by their offsets in the phrase, are intersected with them from the rarest to the most frequent. Each distinct phrase is
+looked up once, some at a time, so that a task holds a bounded number of proposals. Phrases come in blocks of bounded
+size; each block is one pass over the index whose hits are written before the next block is read, so neither driver
+nor executors hold more of the benchmark than a block.
 
 Null or empty texts have no words and are never hit. An item with a null id is ignored; items of equal id count
-once. Repeated documents are judged each for itself. An empty benchmark hits nothing. Only named columns are read.
+once. Repeated documents are judged each for itself. An empty benchmark hits nothing, an empty table gives no rows.
+Only named columns are read.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .scratch import written
 _INDEX = "shard long, docs binary, valid binary, first binary, terms binary, begins binary, places binary"
 #: Words of query phrases that go to the executors at once.
 BLOCK_WORDS = 1 << 18
+#: Places that are proposed at once, or those of one phrase.
+PROPOSALS = 1 << 20
 
 
 def _terms(column: pa.Array) -> tuple[K.Spans, np.ndarray]:
@@ -85,8 +90,8 @@ class _Shard:
     def doc(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, place, "right") - 1
 
-    def phrases(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For phrases of one length, as rows of term hashes: all (phrase, first place) within one document."""
+    def phrases(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For phrases of one length, as rows of term hashes: all (phrase, first place) within one document, some phrases at a time."""
         number = self.find(terms)
         whole = np.flatnonzero((number >= 0).all(axis=1))
         number = number[whole]
@@ -94,14 +99,19 @@ class _Shard:
         rank = np.argsort(df, axis=1, kind="stable")
         rarest = np.take_along_axis(number, rank[:, :1], 1)[:, 0]
         n = self.begins[rarest + 1] - self.begins[rarest]
-        phrase = np.repeat(np.arange(len(whole)), n)
-        place = self.places[K.ranges(self.begins[rarest], n)] - np.repeat(rank[:, 0], n)
-        for k in range(1, terms.shape[1]):
-            keep = self.has(number[phrase, rank[phrase, k]], place + rank[phrase, k])
-            phrase, place = phrase[keep], place[keep]
-        last = place + terms.shape[1] - 1
-        keep = (place >= 0) & (self.doc(np.maximum(place, 0)) == self.doc(last))
-        return whole[phrase[keep]], place[keep]
+        upto, at = np.cumsum(n), 0
+        while at < len(n):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PROPOSALS, "right")))
+            some = np.arange(at, end)
+            phrase = np.repeat(some, n[some])
+            place = self.places[K.ranges(self.begins[rarest[some]], n[some])] - np.repeat(rank[some, 0], n[some])
+            for k in range(1, terms.shape[1]):
+                keep = self.has(number[phrase, rank[phrase, k]], place + rank[phrase, k])
+                phrase, place = phrase[keep], place[keep]
+            last = place + terms.shape[1] - 1
+            keep = (place >= 0) & (self.doc(np.maximum(place, 0)) == self.doc(last))
+            yield whole[phrase[keep]], place[keep]
+            at = end
 
 
 def blocks(items: DataFrame, window: int, *, id_column: str = "item_id", text_column: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, np.ndarray]]]:
@@ -119,39 +129,69 @@ def blocks(items: DataFrame, window: int, *, id_column: str = "item_id", text_co
         yield block
 
 
-def hits(index: DataFrame, block: list[tuple[str, np.ndarray]], window: int = 10) -> DataFrame:
-    """Runs of words of a document that an item's windows cover: shard, row, item, first and last place."""
-    sizes: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+def _plan(block: list[tuple[str, np.ndarray]], window: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct windows of each length: rows of term hashes; and the items of each, from where to where in a list."""
+    sizes: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
     for i, (_, h) in enumerate(block):
-        size = min(window, len(h))
-        at, rows = sizes.setdefault(size, ([], []))
-        grams = np.lib.stride_tricks.sliding_window_view(h, size)
-        at.extend([i] * len(grams))
+        grams = np.lib.stride_tricks.sliding_window_view(h, min(window, len(h)))
+        at, rows = sizes.setdefault(grams.shape[1], ([], []))
+        at.append(np.full(len(grams), i))
         rows.append(grams)
-    plan = [(size, np.array(at), np.concatenate(rows)) for size, (at, rows) in sizes.items()]
-    shared = index.sparkSession.sparkContext.broadcast((plan, [item for item, _ in block]))
+    out = []
+    for at, rows in sizes.values():
+        grams, item = np.concatenate(rows), np.concatenate(at)
+        order = np.lexsort((item, *grams.T))
+        grams, item = grams[order], item[order]
+        new = np.append(True, (grams[1:] != grams[:-1]).any(axis=1))
+        again = np.append(False, ~new[1:] & (item[1:] == item[:-1]))
+        first = np.flatnonzero(new)
+        keep = np.cumsum(~again)
+        out.append((grams[first], np.append(keep[first] - 1, keep[-1]), item[~again]))
+    return out
+
+
+def _merged(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that touch or overlap within a document, as one."""
+    order = np.argsort(first, kind="stable")
+    doc, first, last = doc[order], first[order], last[order]
+    upto = np.maximum.accumulate(last) if len(last) else last
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] > upto[:-1] + 1) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], first[at], upto[np.append(at[1:], len(first)) - 1] if len(at) else last
+
+
+def hits(index: DataFrame, block: list[tuple[str, np.ndarray]], window: int = 10) -> DataFrame:
+    """What a block's windows cover, written: rows shard, row, first, last of runs of words, without item; and shard, row, item of each item with a window there, without places."""
+    shared = index.sparkSession.sparkContext.broadcast((_plan(block, window), [item for item, _ in block]))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         todo, names = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
-                s = _Shard(batch, row)
-                parts = [np.zeros((0, 3), np.int64)]
-                for size, item, terms in todo:
-                    phrase, place = s.phrases(terms)
-                    parts.append(np.stack([item[phrase], place, place + size - 1], axis=1))
-                item, first, last = np.concatenate(parts).T
-                order = np.lexsort((first, item))
-                item, first, last = item[order], first[order], last[order]
-                doc = s.doc(first)
-                new = np.ones(len(item), bool)
-                new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] > last[:-1] + 1)
-                at = np.flatnonzero(new)
-                end = last[np.append(at[1:], len(item)) - 1] if len(at) else at
-                columns = [np.full(len(at), s.shard), doc[at], [names[i] for i in item[at]], first[at], end]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 2 else pa.int64()) for k, c in enumerate(columns)], names=["shard", "row", "item", "first", "last"])
-
-    return index.mapInArrow(look, "shard long, row long, item string, first long, last long")
+                s, none = _Shard(batch, row), np.zeros(0, np.int64)
+                runs, pairs = (none, none, none), none
+                for terms, cut, items in todo:
+                    for phrase, place in s.phrases(terms):
+                        doc = s.doc(place)
+                        part = _merged(doc, place, place + terms.shape[1] - 1)
+                        runs = _merged(*(np.concatenate(x) for x in zip(runs, part, strict=True)))
+                        both = np.unique(doc * len(terms) + phrase)
+                        doc, phrase = np.divmod(both, len(terms))
+                        n = cut[phrase + 1] - cut[phrase]
+                        pairs = np.unique(np.append(pairs, np.repeat(doc, n) * len(names) + items[K.ranges(cut[phrase], n)]))
+                doc, item = np.divmod(pairs, len(names))
+                empty = lambda n, kind: pa.nulls(n, kind)
+                yield _rows(s.shard, runs[0], empty(len(runs[0]), pa.string()), pa.array(runs[1]), pa.array(runs[2]))
+                yield _rows(s.shard, doc, pa.array([names[i] for i in item], pa.string()), empty(len(doc), pa.int64()), empty(len(doc), pa.int64()))
+
+    found = written(index.mapInArrow(look, "shard long, row long, item string, first long, last long"), "hits")
+    shared.destroy()
+    return found
+
+
+def _rows(shard: int, row: np.ndarray, item: pa.Array, first: pa.Array, last: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), shard, np.int64)), pa.array(row.astype(np.int64)), item, first, last], names=["shard", "row", "item", "first", "last"])
 
 
 def documents(index: DataFrame) -> DataFrame:
@@ -200,7 +240,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, *, block_
     if found is None:
         found = docs.sparkSession.createDataFrame([], "shard long, row long, item string, first long, last long")
     before = Window.partitionBy("shard", "row").orderBy("first", "last", "item").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, F.coalesce(F.max("last").over(before), F.lit(-1))))
+    new = F.when(F.col("first").isNotNull(), F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, F.coalesce(F.max("last").over(before), F.lit(-1)))))
     per = found.withColumn("new", new).groupBy("shard", "row").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return base.join(per, ["shard", "row"], "left").select(
