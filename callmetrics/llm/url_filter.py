@@ -3,7 +3,8 @@
 A rule names a host and the beginning of a path; it fits the host itself and all its subdomains, and the longest
 rule that fits decides. Where no rule fits, the host decides: trust flows from hosts with allowed pages along links
 (personalised PageRank), distrust flows from hosts with blocked pages against them, since who links to bad hosts is
-suspect. A host whose distrust exceeds its trust is blocked, any other allowed.
+suspect. What a host without links would pass on goes back to the seeds. A host whose distrust exceeds its trust `BLOCK_ABOVE`
+times is blocked, any other allowed: at 1, a host of its own with blocked pages and no allowed one is blocked as a whole.
 
 Links are counted by pair of hosts before anything is joined. Null urls and urls without `://` have an empty host
 and path, fit no rule and are allowed unless the empty host earns distrust. A null html has no links. Repeated pages
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A host is blocked if its distrust is more than so many times its trust.
+BLOCK_ABOVE = 1.0
+#: Up to so many rules are one expression; more are joined by the ends of the hosts' names, with the same result.
+EXPRESSION_RULES = 256
 #: Rules of the registered query.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*([a-z][a-z0-9+.\-]*://[^"'\s>]+|//[^"'\s>]+)"""
@@ -54,8 +59,10 @@ def path_of(url: Column) -> Column:
 def ruled(pages: DataFrame, rules: list[Rule], url_column: str = "url") -> DataFrame:
     """The rows with `host`, `path`, and the `rule` and `rule_verdict` of the longest rule that fits, else null.
 
-    A filter list of some hundred rules is one expression; columns of these names are replaced.
+    Of rules of equal length one that blocks comes first, then the first by name. Columns of these names are replaced.
     """
+    if len(rules) > EXPRESSION_RULES:
+        return _joined(pages, rules, url_column)
     ordered = sorted(rules, key=lambda r: (-len(r.name), r.verdict != "block", r.name))
     url = F.col(url_column)
     # The url is parsed before columns named host or path could be taken for it.
@@ -66,6 +73,20 @@ def ruled(pages: DataFrame, rules: list[Rule], url_column: str = "url") -> DataF
     return df.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
+def _joined(pages: DataFrame, rules: list[Rule], url_column: str) -> DataFrame:
+    """`ruled` for a long list: each host meets the rules of its own name and of those that it is below, its pages choose among them."""
+    url, keep = F.col(url_column), [c for c in pages.columns if c not in ("host", "path", "rule", "rule_verdict")]
+    df = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"))
+    parts = [(r.name.partition("/")[0].translate(str.maketrans(_UPPER, _LOW)), "".join(r.name.partition("/")[1:]), len(r.name), 0 if r.verdict == "block" else 1, r.name, r.verdict) for r in rules]
+    table = pages.sparkSession.createDataFrame(parts, "end string, begin string, size int, late int, rule string, rule_verdict string")
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    rows = F.struct((-F.col("size")).alias("size"), "late", "rule", "rule_verdict", "begin")
+    found = df.select("host").distinct().select("host", F.explode(ends).alias("end")).join(table, "end").groupBy("host").agg(F.array_sort(F.collect_set(rows)).alias("fitting"))
+    best = F.get(F.filter("fitting", lambda r: F.col("path").startswith(r["begin"])), F.lit(0))
+    return df.join(found, "host", "left").withColumn("best", best).select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
+
+
 def host_edges(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """Links between different hosts: src, dst, links. Relative links stay on their host and say nothing here."""
     links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.col(html_column), F.lit(_LINK), F.lit(1))).alias("link"))
@@ -73,10 +94,10 @@ def host_edges(pages: DataFrame, html_column: str = "html") -> DataFrame:
     return links.select("src", host_of(full).alias("dst")).filter("src <> dst AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, iterations: int = 20, cut_every: int = 5) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, iterations: int = 20) -> DataFrame:
     """Trust and distrust of each host: host, trust, distrust.
 
-    `seeds` has host, trust_seed and distrust_seed (each sums to 1 or is 0). Lineage is cut every `cut_every` steps.
+    `seeds` has host, trust_seed and distrust_seed (each sums to 1 or is 0). Each step is written, which cuts the lineage.
     """
     start = seeds.select("host", F.col("trust_seed"), F.col("distrust_seed"))
     if edges.isEmpty():
@@ -90,21 +111,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, iter
         .unionByName(share.select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("with_link"), (F.col("links") / F.col("n_in")).alias("against"))),
         "host-steps",
     )
-    hosts = steps.select(F.col("to").alias("host")).union(seeds.select("host")).distinct()
-    start = written(hosts.join(start, "host", "left").fillna(0.0), "host-seeds")
-    state = start.select("host", F.col("trust_seed").alias("trust"), F.col("distrust_seed").alias("distrust"))
-    for i in range(iterations):
+    hosts = steps.groupBy(F.col("from").alias("host")).agg((F.sum("with_link") == 0).alias("no_out"), (F.sum("against") == 0).alias("no_in"))
+    known = seeds.select("host").distinct().join(hosts, "host", "full_outer")
+    start = written(known.join(start, "host", "left").fillna(0.0).fillna(True), "host-seeds")
+    state = start.select("host", "no_out", "no_in", F.col("trust_seed").alias("trust"), F.col("distrust_seed").alias("distrust"))
+    for _ in range(iterations):
+        stuck = state.agg(F.sum(F.when(F.col("no_out"), F.col("trust"))), F.sum(F.when(F.col("no_in"), F.col("distrust")))).first()
         sent = steps.join(state, steps["from"] == state["host"]).groupBy("to").agg(F.sum(F.col("trust") * F.col("with_link")).alias("t"), F.sum(F.col("distrust") * F.col("against")).alias("d"))
-        state = start.join(sent, start["host"] == sent["to"], "left").select(
-            "host", ((1 - damping) * F.col("trust_seed") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
-            ((1 - damping) * F.col("distrust_seed") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
-        )
-        if (i + 1) % cut_every == 0:
-            state = written(state, "host-trust")
-    return state
+        new = lambda seed, got, back: (1 - damping + damping * (back or 0.0)) * F.col(seed) + damping * F.coalesce(got, F.lit(0.0))
+        state = start.join(sent, start["host"] == sent["to"], "left").select("host", "no_out", "no_in", new("trust_seed", "t", stuck[0]).alias("trust"), new("distrust_seed", "d", stuck[1]).alias("distrust"))
+        state = written(state, "host-trust")
+    return state.select("host", "trust", "distrust")
 
 
-def judge(pages: DataFrame, rules: list[Rule], *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", iterations: int = 20) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", iterations: int = 20, block_above: float = BLOCK_ABOVE) -> DataFrame:
     """page_id, host, path, rule, verdict."""
     read = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"))
     fitted = ruled(read, rules)
@@ -114,7 +134,7 @@ def judge(pages: DataFrame, rules: list[Rule], *, id_column: str = "page_id", ur
     part = lambda n: F.coalesce(F.try_divide(F.col(n), counts.agg(F.sum(n)).scalar()), F.lit(0.0))
     seeds = counts.select("host", part("a").alias("trust_seed"), part("b").alias("distrust_seed"))
     scores = propagate(edges, seeds, iterations=iterations)
-    bad = scores.filter("distrust > trust").select("host", F.lit(True).alias("bad"))
+    bad = scores.filter(F.col("distrust") > block_above * F.col("trust")).select("host", F.lit(True).alias("bad"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("bad"), "block").otherwise("allow"))
     return fitted.drop("html", "url").join(bad, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
