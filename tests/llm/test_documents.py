@@ -47,16 +47,6 @@ def test_model_beats_the_base_on_new_text(spark):
     assert rows["s"] > rows["b"]
 
 
-def test_bit_probabilities_sum_to_one():
-    """The 256 bytes after one context have probabilities that sum to 1."""
-    m = mixing.Model(mixing.Classes(np.zeros(1), np.zeros((4096, 1))))
-    rng = np.random.default_rng(0)
-    m.logit = [rng.normal(0, 2, len(x)).astype(np.float32) for x in m.logit]
-    m.evidence = [rng.integers(0, 20, len(x)).astype(np.uint8) for x in m.evidence]
-    s = mixing.Spelling(np.arange(256, dtype=K.U64), np.full(256, 0x746820, K.U64), np.full(256, 77, K.U64), np.zeros(256, K.U64), np.zeros(256, np.int64))
-    assert (10 ** m.cost(s)).sum() == pytest.approx(1.0, abs=1e-4)
-
-
 def test_scores_of_nothing(none):
     assert mixing.score(none).count() == 0
 
@@ -99,6 +89,15 @@ def test_contamination(spark, odd, block):
     assert sorted(got, key=lambda r: (KEY(r[0]), r[1:])) == sorted(want, key=lambda r: (KEY(r[0]), r[1:]))
 
 
+def test_equal_windows_in_a_long_text(spark, monkeypatch):
+    """Many equal windows, and items that share them, on a text of one word: proposals stay bounded."""
+    monkeypatch.setattr(decontamination, "PROPOSALS", 1000)
+    docs = spark.createDataFrame([(1, "a " * 30_000), (2, "b"), (3, "a " * 9)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, "a " * (300 + i)) for i in range(40)] + [(99, "a a b")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.contamination(docs, items).collect()}
+    assert got == {1: (30_000, 30_000, 40), 2: (1, 0, 0), 3: (9, 0, 0)}
+
+
 def test_contamination_of_nothing(spark, odd, none):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contamination(odd, empty).filter("contaminated OR n_items > 0").count() == 0
@@ -140,22 +139,53 @@ def test_propagation_equals_power_iteration(spark):
     rng = random.Random(3)
     hosts = [f"h{i}" for i in range(30)]
     links = Counter((rng.choice(hosts), rng.choice(hosts)) for _ in range(200))
-    links = {e: n for e, n in links.items() if e[0] != e[1]}
+    links = {e: n for e, n in links.items() if e[0] != e[1] and e[0] != "h5" and e[1] != "h6"}
     trust, bad = {"h0": 0.5, "h1": 0.5}, {"h2": 1.0}
     edges = spark.createDataFrame([(a, b, n) for (a, b), n in links.items()], "src string, dst string, links long")
     seeds = spark.createDataFrame([(h, trust.get(h, 0.0), bad.get(h, 0.0)) for h in hosts], "host string, trust_seed double, distrust_seed double")
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(edges, seeds, iterations=7, cut_every=3).collect()}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(edges, seeds, iterations=7).collect()}
     out, into = Counter(), Counter()
     for (a, b), n in links.items():
         out[a] += n
         into[b] += n
     t, d = dict(trust), dict(bad)
     for _ in range(7):
-        t = {h: 0.15 * trust.get(h, 0) + 0.85 * sum(t.get(a, 0) * n / out[a] for (a, b), n in links.items() if b == h) for h in hosts}
-        d = {h: 0.15 * bad.get(h, 0) + 0.85 * sum(d.get(b, 0) * n / into[b] for (a, b), n in links.items() if a == h) for h in hosts}
+        lost_t, lost_d = sum(x for h, x in t.items() if not out[h]), sum(x for h, x in d.items() if not into[h])
+        t = {h: (0.15 + 0.85 * lost_t) * trust.get(h, 0) + 0.85 * sum(t.get(a, 0) * n / out[a] for (a, b), n in links.items() if b == h) for h in hosts}
+        d = {h: (0.15 + 0.85 * lost_d) * bad.get(h, 0) + 0.85 * sum(d.get(b, 0) * n / into[b] for (a, b), n in links.items() if a == h) for h in hosts}
+    assert sum(t.values()) == pytest.approx(1) and sum(d.values()) == pytest.approx(1)
     assert all(got[h] == pytest.approx((t[h], d[h])) for h in hosts)
 
 
+def test_ties_and_long_lists_of_rules(spark, monkeypatch):
+    rules = [url_filter.Rule(*r) for r in (*url_filter.RULES, ("allow", "abc.com/x"), ("block", "abc.com/x"), ("block", "b.co/"), ("allow", "b.co/"))]
+    urls = ["http://abc.com/xy", "http://b.co/", "http://a.b.co", "http://www.example.com/en/1", "http://example.com/en/", "http://net/es/", "http://x.y.net/fr/z", "", None, "http://.com/", "http://a..com/"]
+    df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    short = sorted(map(str, url_filter.ruled(df, rules).collect()))
+    monkeypatch.setattr(url_filter, "EXPRESSION_RULES", 0)
+    assert sorted(map(str, url_filter.ruled(df, rules).collect())) == short
+    got = {r["page_id"]: r["rule_verdict"] for r in url_filter.ruled(df, rules).collect()}
+    assert got[0] == "block" and got[1] == "block" and got[2] is None and got[3] == "allow"
+
+
+def test_verdicts_equal_a_plain_version(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url").collect()
+    out = []
+    for r in pages:
+        rest = (r["url"] or "").partition("://")[2] if "://" in (r["url"] or "") else ""
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, path = lower(rest[:cut]), rest[cut:]
+        path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+        fits = [(len(n), n, v) for v, n in url_filter.RULES if (host == n.partition("/")[0] or host.endswith("." + n.partition("/")[0])) and path.startswith("/" + n.partition("/")[2])]
+        out.append((r["page_id"], host, path, *(max(fits)[1:] if fits else (None, None))))
+    n = Counter(v for *_, v in out)
+    per = Counter((h, v) for _, h, _, _, v in out)
+    bad = {h for _, h, *_ in out if per[h, "block"] / max(1, n["block"]) > per[h, "allow"] / max(1, n["allow"])}
+    want = sorted((i, h, p, r or "", v or ("block" if h in bad else "allow")) for i, h, p, r, v in out)
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in url_filter.query(spark, SMALL).collect())
+    assert got == want
+
+
 def test_links_of_pages(spark):
     html = '<a href="http://b.org/x">1</a><A HREF=\'//c.org\'>2</a><a href="/own">3</a><a href=https://b.org>4</a><a href="http://a.com/self">5</a>'
     df = spark.createDataFrame([(1, "http://a.com/", html), (2, "http://a.com/2", None)], "page_id long, url string, html string")

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 from callmetrics.llm import packing, sharding, token_counts, token_files
 from callmetrics.llm.scratch import folder
 
+from ..conftest import SMALL
 from .fixtures import awkward, crc_ids, words
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -159,11 +160,82 @@ def test_assignment(odd, none):
     assert sharding.assign(none, ["a"]).count() == 0
 
 
+def test_query_equals_the_table(spark):
+    names = [f"shard-{i:05d}" for i in range(256)]
+    owner = sharding.table(names)
+    rows = sharding.query(spark, SMALL).collect()
+    assert rows and all(r["shard"] == names[owner[r["slot"]]] for r in rows)
+    want = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id", "pmod(xxhash64(doc_id), 65537) AS slot").collect()
+    assert sorted((r["doc_id"], r["slot"]) for r in rows) == sorted((r["doc_id"], r["slot"]) for r in want)
+
+
+def test_table_by_turns():
+    """The table against a plain version with whole permutations; a size that is no prime is refused."""
+    import hashlib
+
+    names, size = [f"s{i}" for i in range(7)], 101
+    orders = []
+    for name in names:
+        d = hashlib.blake2b(name.encode(), digest_size=16).digest()
+        a, b = int.from_bytes(d[:8], "little") % size, int.from_bytes(d[8:], "little") % (size - 1) + 1
+        orders.append([(a + j * b) % size for j in range(size)])
+        assert len(set(orders[-1])) == size
+    owner = {}
+    while len(owner) < size:
+        for i, order in enumerate(orders):
+            free = [x for x in order if x not in owner]
+            if free:
+                owner[free[0]] = i
+    assert [owner[i] for i in range(size)] == sharding.table(names, size).tolist()
+    for bad in (1000, 1, 65_535):
+        with pytest.raises(ValueError):
+            sharding.table(["a", "b"], bad)
+
+
 def test_shards_are_written(spark, odd, tmp_path):
     sharding.write(odd, f"{tmp_path}/out", ["a", "b"], size=101)
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(awkward())
 
 
+def plain_segment(word, pieces):
+    """The recurrence with every piece tried at every place."""
+    longest, best, count = max(map(len, pieces.score)), [0.0], [0]
+    for i in range(1, len(word) + 1):
+        top, n = best[i - 1] + pieces.byte_score, count[i - 1] + 1
+        for k in range(1, min(i, longest) + 1):
+            piece = pieces.score.get(word[i - k : i])
+            if piece is not None and best[i - k] + piece > top:
+                top, n = best[i - k] + piece, count[i - k] + 1
+        best.append(top)
+        count.append(n)
+    return count[-1], best[-1]
+
+
+@pytest.mark.parametrize("alone", [16, 512])
+def test_long_words_equal_the_plain_recurrence(monkeypatch, alone):
+    monkeypatch.setattr(token_counts, "ALONE_BYTES", alone)
+    pieces = token_counts.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(5)
+    letters = ["x", "abcdefghijklmnopqrstuvwxyz", "日本語中文字一二三四五六七八九十", "the and of é ß".replace(" ", ""), "\x00\x7f-_=/"]
+    texts = ["".join(rng.choice(list(a), n)).encode() for a in letters for n in (49, 200, 700)] + [b"international" * 20]
+    ends = np.cumsum([len(t) for t in texts])
+    tokens, scores = token_counts.long_counts(np.frombuffer(b"".join(texts) + bytes(8), np.uint8), np.append(0, ends[:-1]), ends, pieces)
+    for t, n, score in zip(texts, tokens, scores, strict=True):
+        want = plain_segment(token_counts.MARK + t, pieces)
+        assert n == want[0] and score == pytest.approx(want[1], rel=1e-9)
+        assert token_counts.segment(token_counts.MARK + t, pieces) == want
+
+
+def test_unspaced_text_is_not_slow():
+    import time
+
+    pieces = token_counts.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "".join(np.random.default_rng(1).choice([chr(c) for c in range(0x4E00, 0x5E00)], 350_000)).encode()
+    began = time.process_time()
+    n, _ = token_counts.long_counts(np.frombuffer(text + bytes(8), np.uint8), np.array([0]), np.array([len(text)]), pieces)
+    assert n[0] > 350_000 and time.process_time() - began < 3  # a MB of text
+
+
 def test_token_counts(odd, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     pieces = token_counts.Pieces.load(path)
