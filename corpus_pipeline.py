@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, one operator a stage.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last keep the columns of documents.
+stage's docs. All but the last keep the columns of documents, whatever these are named. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -16,59 +16,66 @@ from callmetrics.llm import decontamination, language, ngram_join, packing, qual
 from callmetrics.llm.scratch import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: A document whose best language has less than this mean probability is rejected; chance is a quarter for four languages.
-LEAST_SCORE = 0.3
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents with `row`, a number that no other row has: its file's number and its place there. What isn't read from files is written first."""
+def _key(docs: DataFrame) -> str:
+    """A name for the key of rows that no column of the documents has."""
+    name = "row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """The documents with a key, a number that no other row has: its file's number and its place there. What isn't read from files is written first."""
     try:
         docs.select("_metadata.row_index")
     except AnalysisException:
         docs = written(docs, "pipeline-rows")
-    files = docs.select(F.col("_metadata.file_path").alias("_file")).distinct()
-    numbers = files.select("_file", F.row_number().over(Window.orderBy("_file")).cast("long").alias("_number"))  # a row a file
-    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
-    return placed.join(F.broadcast(numbers), "_file").select(*docs.columns, F.expr("shiftleft(_number, 40) + _index").alias("row"))
+    files = docs.select(F.col("_metadata.file_path").alias("f")).distinct()
+    numbers = files.select("f", F.row_number().over(Window.orderBy("f")).cast("long").alias("n"))  # a row a file
+    placed = docs.select(F.struct("*").alias("d"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    return placed.join(F.broadcast(numbers), "f").select("d.*", F.expr("shiftleft(n, 40) + i").alias(key))
 
 
-def _without(rows: DataFrame, removed: DataFrame) -> DataFrame:
+def _without(rows: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     """The keyed documents whose row is not among the removed ones, without their key."""
-    return rows.join(removed, "row", "left_anti").drop("row")
+    return rows.join(removed, key, "left_anti").drop(key)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no language that was learned, go."""
-    found = language.query_docs(docs)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents without letters, or in no language that was learned, go. Null and empty texts have no letters; repeated rows are judged each for itself."""
+    return language.accepted(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule of the current policy go."""
+    """Documents that fail a rule of the current policy go, by the bits of their ledger. A null text has no words and goes; repeated rows are judged each for itself."""
     return quality.passing(docs, quality.POLICIES["v1"])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row stays: the first with the least doc_id, one without doc_id only if all are."""
-    rows = _keyed(docs)
-    groups = ngram_join.join(rows, id_column="row").filter("doc_id <> component_id")
-    others = written(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "pipeline-copies")
-    members = others.unionByName(others.select(F.col("component").alias("row"), "component").distinct())
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    first = members.join(rows.select("row", "doc_id"), "row").groupBy("component").agg(F.min(order).alias("x"))
-    return _without(rows, members.select("row").join(first.select("x.row"), "row", "left_anti"))
+    """Of each group of near duplicates one row stays: the first with the least doc_id, one without doc_id only if all are. Texts without words are in no group and stay."""
+    key = _key(docs)
+    rows = _keyed(docs, key)
+    groups = ngram_join.join(rows, id_column=key).filter("doc_id <> component_id")
+    others = written(groups.select(F.col("doc_id").alias(key), F.col("component_id").alias("component")), "pipeline-copies")
+    members = others.unionByName(others.select(F.col("component").alias(key), "component").distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)
+    first = members.join(rows.select(key, "doc_id"), key).groupBy("component").agg(F.min(order).alias("x"))
+    return _without(rows, members.select(key).join(first.select(F.col("x")[key].alias(key)), key, "left_anti"), key)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go; items without an id are searched as one item."""
-    rows = _keyed(docs)
+    """Documents that hold a passage of the benchmark go, whatever their id; items without an id are searched as one item. An empty benchmark takes nothing."""
+    key = _key(docs)
+    rows = _keyed(docs, key)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))
-    found = decontamination.contamination(rows.select(F.col("row").alias("doc_id"), "text"), benchmark)
-    return _without(rows, found.filter("contaminated").select(F.col("doc_id").alias("row")))
+    found = decontamination.contamination(rows.select(F.col(key).alias("doc_id"), "text"), benchmark)
+    return _without(rows, found.filter("contaminated").select(F.col("doc_id").alias(key)), key)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens. A null text is its end id alone; repeated rows are packed each for itself."""
     return packing.query_docs(docs)
 
 
