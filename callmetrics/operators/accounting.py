@@ -64,8 +64,8 @@ def drift(declarations: DataFrame, running: DataFrame) -> DataFrame:
     return d.join(r, "function_id", "full_outer").select("function_id", F.when(F.col("d").isNull(), "undeclared").when(F.col("r").isNull(), "not_running").alias("drift")).filter("drift IS NOT NULL")
 
 
-def lint(declarations: DataFrame, topics: DataFrame) -> DataFrame:
-    """Findings on declarations against the topics that exist (name, partitions): severity, subject, message."""
+def lint(declarations: DataFrame, topics: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
+    """Findings on declarations against the topics that exist (name, partitions): severity, subject, message. Topics in `required` must exist whoever declares them."""
     t = lambda c: topics.select(F.col("name").alias(c), F.col("partitions").alias(c + "_partitions_there"))
     df = declarations.join(t("input_topic"), "input_topic", "left").join(t("results_topic"), "results_topic", "left").join(t("dlq_topic"), "dlq_topic", "left")
     there, declared = F.col("results_topic_partitions_there"), F.col("results_topic_partitions")
@@ -75,7 +75,12 @@ def lint(declarations: DataFrame, topics: DataFrame) -> DataFrame:
         found(declared > there, "error", "declares more partitions than there are"), found(declared < there, "warning", "declares fewer partitions than there are"),
         found(F.col("dlq_topic_partitions_there").isNull(), "warning", "dead-letter topic is missing"),
     )
-    return df.select(F.col("function_id").alias("subject"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f")).select("f.severity", "subject", "f.message")
+    out = df.select(F.col("function_id").alias("subject"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f")).select("f.severity", "subject", "f.message")
+    if not required:
+        return out
+    names = declarations.sparkSession.createDataFrame([(n,) for n in required], "name string")
+    gone = names.join(topics.select("name"), "name", "left_anti")
+    return out.unionByName(gone.select(F.lit("error").alias("severity"), F.col("name").alias("subject"), F.lit("required topic is missing").alias("message")))
 
 
 def topic_plan(declarations: DataFrame, raw: str = "calls.raw", raw_partitions: int = 12, dlq_partitions: int = 3) -> DataFrame:

@@ -282,3 +282,45 @@ def objects_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = lambda rows, name: rows.select("object_key", F.encode(F.lit(name), "UTF-8").alias("content"))
     found = R.with_fallback(refs, held(refs.filter(k % 3 != 0), "live"), held(refs.filter(k % 2 == 0), "archive"))
     return found.select("call_id", F.decode("content", "UTF-8").alias("from"), "error_code")
+
+
+@query("required_topics", """
+WITH d AS (
+  SELECT 'fn_' || CAST(s_suppkey AS VARCHAR) AS subject, s_suppkey AS k, s_suppkey % 9 + 1 AS declared, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey + 1 END AS there FROM supplier
+)
+SELECT severity, message, count(*) AS n, min(subject) AS subject FROM (
+  SELECT 'error' AS severity, subject, 'results topic is missing' AS message FROM d WHERE there IS NULL
+  UNION ALL SELECT 'error', subject, 'declares more partitions than there are' FROM d WHERE declared > there
+  UNION ALL SELECT 'warning', subject, 'declares fewer partitions than there are' FROM d WHERE declared < there
+  UNION ALL SELECT 'warning', subject, 'dead-letter topic is missing' FROM d WHERE k % 3 <> 0
+  UNION ALL SELECT DISTINCT 'error', 'calls.raw', 'required topic is missing' FROM supplier) GROUP BY severity, message
+""")
+def required_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by kind, the raw topic among what must exist."""
+    found = C.lint(*suppliers(spark, sf_dir), required=("calls.raw", "calls.internal"))
+    return found.groupBy("severity", "message").agg(F.count("*").alias("n"), F.min("subject").alias("subject"))
+
+
+@query("fetched_recordings", """
+SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN 'AUDIO_NOT_FOUND' WHEN event_id % 5 = 2 THEN 'AUDIO_API_ERROR' END AS error_code, CASE WHEN event_id % 5 > 2 THEN event_type END AS content FROM events
+""")
+def fetched_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records; a fifth has no recording, others were not found or could not be fetched."""
+    e, k = D.table(spark, sf_dir, "events"), F.col("event_id") % 5
+    records = e.select("event_id", F.col("event_id").cast("string").alias("audio_id"), F.lit(None).cast("string").alias("error_code"))
+    held = e.filter(k > 0).select(F.col("event_id").cast("string").alias("audio_id"), F.when(k > 2, F.encode("event_type", "UTF-8")).alias("content"), F.when(k == 1, 404).when(k == 2, 503).otherwise(200).alias("http_status"))
+    return R.fetched(records, held).select("event_id", "error_code", F.decode("content", "UTF-8").alias("content"))
+
+
+@query("backlog_pages", "WITH" + _HOURS + """, f AS (SELECT group_id, "at", CASE WHEN rate > 0 THEN lag / rate > 10800 WHEN lag > 0 THEN true ELSE false END AS late FROM hours)
+SELECT group_id, "at", min(CAST(late AS INTEGER)) OVER (PARTITION BY group_id ORDER BY "at" ROWS 1 PRECEDING) = 1 AND count(*) OVER (PARTITION BY group_id ORDER BY "at" ROWS 1 PRECEDING) = 2 AS page FROM f
+""")
+def backlog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.alerts(_hours(spark, sf_dir), sustained=2).select("group_id", "at", "page")
+
+
+@query("file_multiples", "WITH" + D.RESULTS + "," + D.REFERENCES + """
+SELECT res.call_id, function_id, attempt, CASE WHEN duration_seconds > 0 AND l_quantity > 0 THEN round(duration_seconds / CAST(l_quantity AS DOUBLE), 6) END AS multiple FROM res JOIN refs ON res.call_id = refs.call_id
+""")
+def file_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.multiples(D.results(spark, sf_dir), D.references(spark, sf_dir)).select("call_id", "function_id", "attempt", "multiple")

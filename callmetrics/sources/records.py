@@ -66,9 +66,15 @@ def canonical_gate(df: DataFrame) -> DataFrame:
 
 
 def fetched(records: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Records with `content` of their recording (audio_id, content); without one, error_code AUDIO_NOT_FOUND."""
-    df = records.join(recordings.select("audio_id", "content"), "audio_id", "left")
-    return df.withColumn("error_code", F.coalesce(F.col("error_code"), F.when(F.col("content").isNull(), "AUDIO_NOT_FOUND")))
+    """Records with `content` of their recording (audio_id, content); without one, error_code AUDIO_NOT_FOUND.
+
+    Recordings may carry `http_status` of a fetch: one that failed with another status than 404 and 410 is AUDIO_API_ERROR,
+    which may be tried again.
+    """
+    status = F.col("http_status") if "http_status" in recordings.columns else F.lit(None).cast("int")
+    df = records.join(recordings.select("audio_id", "content", status.alias("_status")), "audio_id", "left")
+    lost = F.when(F.coalesce(~F.col("_status").isin(200, 404, 410), F.lit(False)), "AUDIO_API_ERROR").otherwise("AUDIO_NOT_FOUND")
+    return df.withColumn("error_code", F.coalesce(F.col("error_code"), F.when(F.col("content").isNull(), lost))).drop("_status")
 
 
 def with_fallback(references: DataFrame, live: DataFrame, archive: DataFrame) -> DataFrame:
