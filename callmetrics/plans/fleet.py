@@ -320,7 +320,9 @@ def backlog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("file_multiples", "WITH" + D.RESULTS + "," + D.REFERENCES + """
-SELECT res.call_id, function_id, attempt, CASE WHEN duration_seconds > 0 AND l_quantity > 0 THEN round(duration_seconds / CAST(l_quantity AS DOUBLE), 6) END AS multiple FROM res JOIN refs ON res.call_id = refs.call_id
+SELECT res.call_id, function_id, attempt, CASE WHEN duration_seconds > 0 AND l_quantity > 0 THEN CAST(floor(duration_seconds / CAST(l_quantity AS DOUBLE) * 1000) AS BIGINT) END AS thousandths FROM res JOIN refs ON res.call_id = refs.call_id
 """)
 def file_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.multiples(D.results(spark, sf_dir), D.references(spark, sf_dir)).select("call_id", "function_id", "attempt", "multiple")
+    """Multiples in whole thousandths, which no engine rounds in its own way."""
+    thousandths = F.floor(F.col("multiple") * 1000).alias("thousandths")
+    return T.multiples(D.results(spark, sf_dir), D.references(spark, sf_dir)).select("call_id", "function_id", "attempt", thousandths)
