@@ -213,7 +213,7 @@ def traced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE refs.call_id NOT IN (SELECT call_id FROM lost) AND NOT EXISTS (SELECT 1 FROM res WHERE res.call_id = refs.call_id AND res.function_id = decl.function_id) GROUP BY decl.function_id
 )
 SELECT decl.function_id, coalesce(results, 0) AS results, coalesce(unique_calls, 0) AS unique_calls, coalesce(results - unique_calls, 0) AS duplicates, coalesce(success, 0) AS success, coalesce(failed, 0) AS failed, coalesce(skipped, 0) AS skipped,
-       coalesce(dlq_calls, 0) AS dlq_calls, coalesce(undecodable, 0) AS undecodable, coalesce(n_missing, 0) AS n_missing, max_attempt, round(coalesce(audio_seconds, 0), 4) AS audio_seconds, coalesce(examples, '') AS examples,
+       coalesce(dlq_calls, 0) AS dlq_calls, coalesce(undecodable, 0) AS undecodable, coalesce(n_missing, 0) AS n_missing, max_attempt, round(coalesce(audio_seconds, 0), 5) AS audio_seconds, coalesce(examples, '') AS examples,
        (SELECT count(*) FROM refs) AS expected, (SELECT count(*) FROM lost) AS hydration_failures, (SELECT count(*) FROM refs) - (SELECT count(*) FROM lost) AS reachable,
        coalesce(n_missing, 0) = 0 AND coalesce(results - unique_calls, 0) = 0 AND coalesce(undecodable, 0) = 0 AS passed
 FROM decl LEFT JOIN t ON decl.function_id = t.function_id LEFT JOIN d ON decl.function_id = d.function_id LEFT JOIN gone ON decl.function_id = gone.function_id
@@ -224,7 +224,7 @@ def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = refs.filter(F.col("call_id").cast("long") % 10 == 0).select("call_id", F.lit(C.HYDRATOR).alias("function_id"))
     letters = D.dead_letters(spark, sf_dir).select("call_id", "function_id").unionByName(lost)
     out = T.full_report(refs, _envelopes(spark, sf_dir), letters, D.declared(spark))
-    return out.withColumns({"audio_seconds": F.round("audio_seconds", 4), "examples": F.concat_ws(",", "examples")})
+    return out.withColumns({"audio_seconds": F.round("audio_seconds", 5), "examples": F.concat_ws(",", "examples")})
 
 
 @query("multiple_quantiles", "WITH" + D.RESULTS + "," + D.REFERENCES + """, m AS (
