@@ -87,6 +87,16 @@ class Slice:
         """Row of the document of each word."""
         return np.repeat(np.arange(len(self.docs)), np.diff(self.first))
 
+    def only(self, docs: np.ndarray) -> Slice:
+        """The slice with some of its documents (a flag each) and their words alone."""
+        size = np.diff(self.first)
+        number = self.number[np.repeat(docs, size)]
+        used = np.flatnonzero(np.bincount(number, minlength=len(self.start)))
+        place = np.zeros(len(self.start), np.int64)
+        place[used] = np.arange(len(used))
+        words, end = K.gather(self.words, self.start[used], self.end[used])
+        return Slice(self.id, self.docs[docs], self.valid[docs], self.flag[docs], np.append(0, np.cumsum(size[docs])), place[number], np.append(words, np.zeros(8, np.uint8)), np.append(0, end[:-1])[: len(end)], end)
+
     def hashes(self) -> np.ndarray:
         """Hashes of the distinct words."""
         return K.span_hash(self.words, self.start, self.end)
