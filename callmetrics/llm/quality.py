@@ -205,3 +205,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
        failed % 4 <> 0 AS base_failed, failed = 0 AS kept
 FROM b
 """
+
+ABLATION_SQL = "WITH q AS (" + ORACLE_SQL + """), rules AS (
+  SELECT * FROM (VALUES ('too_short', 1), ('repeats_itself', 2), ('symbols_for_words', 4), ('lines_again', 8), ('long_words', 16), ('short_words', 32)) AS v(rule, bit)
+)
+SELECT rule, CAST(sum(CASE WHEN failed & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, CAST(sum(CASE WHEN failed = bit THEN 1 ELSE 0 END) AS BIGINT) AS n_alone FROM q, rules GROUP BY rule
+"""

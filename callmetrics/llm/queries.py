@@ -15,9 +15,11 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_quality": quality.query,
     "op10_language": language.query,
+    "quality_ablation": quality.ablated,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontamination.ORACLE_SQL,
     "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op9_quality": quality.ORACLE_SQL,
+    "quality_ablation": quality.ABLATION_SQL,
 }

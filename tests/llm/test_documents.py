@@ -256,6 +256,38 @@ def test_no_link_of_near_copies_is_lost(spark, seed):
     assert groups_of(ngram_join.join(df).collect()) == brute_components(docs)
 
 
+def test_a_large_family_half_of_whose_pairs_are_linked(spark):
+    rng = random.Random(11)
+    base, docs = [f"w{rng.randrange(500)}" for _ in range(150)], []
+    for _ in range(500):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 3, 4, 9])):
+            copy[rng.randrange(150)] = rng.choice(base) if rng.random() < 0.5 else f"new{rng.randrange(40)}"
+        docs.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    assert groups_of(ngram_join.join(df).collect()) == brute_components(list(enumerate(docs)))
+
+
+def test_cuts_part_the_order_evenly():
+    volume = [0] * 256
+    volume[4], volume[8], volume[40] = 1000, 3000, 4000
+    cuts = ngram_join.cuts_of(volume, 4)
+    assert len(cuts) == 3 and (np.diff(cuts.astype(float)) > 0).all()
+    assert [int(c >> K.U64(56)) for c in cuts] == [8, 40, 40] or [int(c >> K.U64(56)) for c in cuts] == [8, 8, 40]
+    assert len(ngram_join.cuts_of([0] * 256, 4)) == 3
+
+
+def test_counts_beyond_32_bits(spark, odd):
+    big = np.array([0, 1, 1 << 31, (1 << 40) + 7])
+    for x in (big, big[:2], big[:0]):
+        assert coded.of_counts(pa.scalar(coded.counts(x), pa.binary())).tolist() == x.tolist()
+    slices = coded.coded(odd)
+    keys = lambda s: (np.array([5, 1 << 63], K.U64), np.array([3_000_000_000, 1]))
+    n = slices.count()
+    r = coded.totals(slices, keys, 3, whole=True, frequent=3 * 10**9).agg(F.sum("n_keys"), F.sum("n_sum"), F.max("frequent")).first()
+    assert r[:2] == (2, n * 3_000_000_001) and bytes(r[2]) == (5).to_bytes(8, "little")
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)]
@@ -315,6 +347,7 @@ def test_policies_and_ablation(odd):
 
 def test_quality_equals_sql(spark):
     same_as_sql(spark, quality.query, quality.ORACLE_SQL)
+    same_as_sql(spark, quality.ablated, quality.ABLATION_SQL)
 
 
 # 10 --------------------------------------------------------------------------------------------------------------
@@ -359,6 +392,37 @@ def test_probabilities_do_not_depend_on_neighbours():
     assert (whole[[0, 1, 4]] == 0).all()
 
 
+def test_all_languages_are_learned(spark):
+    rng = random.Random(2)
+    alphabets = [[chr(0x100 + 40 * k + j) for j in range(12)] for k in range(70)]
+    docs = [(70 * i + k, " ".join("".join(rng.choices(a, k=5)) for _ in range(40)), f"l{k:02d}") for k, a in enumerate(alphabets) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    net = language.fit(df)
+    assert len(net.names) == 70
+    r = language.identify(df, net).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()
+    assert r[0] > 0.9
+
+
+def test_query_equals_a_plain_network(spark):
+    """Each word of each document by itself, against the operator with its shared words."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    net = language.fit(docs.filter(~language.held_out()).select("doc_id", "text", "lang"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.query(spark, SMALL).collect()}
+    for r in docs.orderBy("doc_id").limit(25).collect():
+        data = np.frombuffer(lower(r["text"] or "").encode() + b" ", np.uint8)
+        total, size, word = np.zeros(len(net.names)), 0, b""
+        for b in data.tolist():
+            if 97 <= b <= 122 or b >= 128:
+                word += bytes([b])
+                if len(word) < language.WORD_BYTES:
+                    continue
+            if word:
+                total += sum(p[0] for p in net.label(np.frombuffer(word, np.uint8)[None], np.array([len(word)])))
+                size, word = size + len(word), b""
+        if size:
+            assert got[r["doc_id"]] == (net.names[int(total.argmax())], pytest.approx(total.max() / size, abs=1e-4))
+
+
 def test_unknown_language(spark, odd, none):
     docs = odd.select("doc_id", "text", "lang", "lang_pred")
     net = language.fit(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang"))
