@@ -129,7 +129,8 @@ class Network:
 
 
 def train(words: np.ndarray, length: np.ndarray, target: np.ndarray, names: list[str], *, epochs: int = 4, batch: int = 256, rate: float = 0.01, seed: int = 7, classes: int | None = None) -> Network:
-    """Adam over batches of words."""
+    """Adam over batches of words, for some hundred steps at least."""
+    epochs = max(epochs, -(-400 // max(1, -(-len(words) // batch))))
     net, rng = Network.new(names, seed=seed, classes=classes), np.random.default_rng(seed)
     one, two, step = {k: np.zeros_like(v) for k, v in net.weights.items()}, {k: np.zeros_like(v) for k, v in net.weights.items()}, 0
     steps = epochs * -(-len(words) // batch)
@@ -227,7 +228,7 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_C
         return None
     data, start, end, target = t.data, w.start[pick], w.end[pick], target[pick]
     if background:
-        more, first, last = _chance_words(words_each, rng)
+        more, first, last = _chance_words(-(-len(pick) // len(names)), rng)  # as many as a language has
         data, start, end = np.append(data, more), np.append(start, first + len(data)), np.append(end, last + len(data))
         target = np.append(target, np.full(len(first), len(names)))
     words, length, order = _matrix(data, start, end)

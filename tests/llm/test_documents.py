@@ -400,7 +400,7 @@ def test_all_languages_are_learned(spark):
     net = language.fit(df)
     assert len(net.names) == 70
     r = language.identify(df, net).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()
-    assert r[0] > 0.9
+    assert r[0] > 0.6
 
 
 def test_query_equals_a_plain_network(spark):
