@@ -106,13 +106,13 @@ class Slice:
         return (self.id << 20) + np.arange(len(self.docs))
 
 
-def coded(docs: DataFrame, flag: Column | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def coded(docs: DataFrame, flag: Column | None = None, *, id_column: str = "doc_id", text_column: str = "text", slice_bytes: int | None = None) -> DataFrame:
     """The table of slices, written. Words are white-space separated, A-Z lower-cased."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
-            for s in K.slices(batch, 3):
+            for s in K.slices(batch, 3, slice_bytes) if slice_bytes else K.slices(batch, 3):
                 t = K.texts(s.column(3)).lowered()
                 w = K.words(t)
                 _, at, number = K.distinct(K.span_hash(t.data, w.start, w.end))
