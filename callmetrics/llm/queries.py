@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, ngram_join, packing, quality, sharding, token_counts, token_files, url_filter
+from . import decontamination, language, mixing, ngram_join, packing, quality, sharding, token_counts, token_files, url_filter, warc
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_quality": quality.query,
     "op10_language": language.query,
+    "op11_warc": warc.query,
     "quality_ablation": quality.ablated,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontamination.ORACLE_SQL,
     "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op9_quality": quality.ORACLE_SQL,
+    "op11_warc": warc.ORACLE_SQL,
     "quality_ablation": quality.ABLATION_SQL,
 }
