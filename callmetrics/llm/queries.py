@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, ngram_join, packing, quality, sharding, token_counts, token_files, url_filter, warc
+from . import decontamination, language, mixing, ngram_join, packing, prefix_trie, quality, sharding, token_counts, token_files, url_filter, vector_codes, warc
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality": quality.query,
     "op10_language": language.query,
     "op11_warc": warc.query,
+    "op12_vector_codes": vector_codes.query,
+    "op13_prefix_trie": prefix_trie.query,
     "quality_ablation": quality.ablated,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -23,5 +25,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op9_quality": quality.ORACLE_SQL,
     "op11_warc": warc.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
     "quality_ablation": quality.ABLATION_SQL,
 }
