@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amplitude_db, amplitude_of, power_db
-from .signals import bridged, hops, lengths, measured, pinned, power, runs
+from .signals import bridged, hop_frames, measured, pinned, power, runs, with_after
 
 FRAME_SECONDS = 0.020
 
@@ -111,44 +112,61 @@ def snr_estimate(blocks: DataFrame, frame: int = 320, least_frames: int = 10) ->
 
 
 def spectra(blocks: DataFrame, window: int = 512, step: int = 256, fraction: float = 0.85) -> DataFrame:
-    """Of each hopping frame: call_id, sample_rate, frame_idx, rms (not windowed), magnitude, centroid, rolloff, flatness."""
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taper = np.hanning(window)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["frame"].to_numpy()).astype(np.float64)
-            s = np.abs(np.fft.rfft(x * taper, axis=1))
-            f = np.arange(s.shape[1]) / window * pdf["sample_rate"].to_numpy()[:, None]
-            total = s.sum(axis=1)
-            safe = np.where(total > 0, total, 1.0)
-            first = (np.cumsum(s, axis=1) >= fraction * total[:, None]).argmax(axis=1)
-            p = s**2 + 1e-10
-            yield pd.DataFrame({"call_id": pdf["call_id"], "sample_rate": pdf["sample_rate"], "frame_idx": pdf["frame_idx"], "rms": np.sqrt((x**2).mean(axis=1)), "magnitude": total, "centroid": (f * s).sum(axis=1) / safe, "rolloff": f[np.arange(len(f)), first], "flatness": np.exp(np.log(p).mean(axis=1)) / p.mean(axis=1)})
+    """Of each hopping frame: call_id, sample_rate, n, frame_idx, rms (not windowed), magnitude, centroid, rolloff, flatness.
+
+    One pass: frames are views of a block and of the samples after it, and many share a transform. `n`, the samples of the block,
+    stands on one row of each block, also of a block without a frame, which has no other value there.
+    """
+    names = ["call_id", "sample_rate", "n", "frame_idx", "rms", "magnitude", "centroid", "rolloff", "flatness"]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taper, at_once = np.hanning(window), max(1, (1 << 20) // window)
+        for batch in batches:
+            flat, begin, count = hop_frames(batch.column(3), batch.column(4), window, step)
+            rate = np.asarray(batch.column(1).fill_null(0)).astype(np.float64)
+            row = np.repeat(np.arange(len(count)), count)
+            first = np.repeat(begin - step * (np.cumsum(count) - count), count) + step * np.arange(len(row))
+            out = np.zeros((5, len(row)))
+            for i in range(0, len(row), at_once):
+                part = slice(i, i + at_once)
+                x = flat[first[part][:, None] + np.arange(window)].astype(np.float64)
+                s = np.abs(np.fft.rfft(x * taper, axis=1))
+                f = np.arange(s.shape[1]) / window * rate[row[part]][:, None]
+                total = s.sum(axis=1)
+                reached = (np.cumsum(s, axis=1) >= fraction * total[:, None]).argmax(axis=1)
+                p = s**2 + 1e-10
+                out[:, part] = np.sqrt((x**2).mean(axis=1)), total, (f * s).sum(axis=1) / np.where(total > 0, total, 1.0), f[np.arange(len(f)), reached], np.exp(np.log(p).mean(axis=1)) / p.mean(axis=1)
+            bare = np.flatnonzero(count == 0)
+            where = np.append(row, bare)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            there = np.arange(len(where)) < len(row)
+            index = np.asarray(batch.column(2)).astype(np.int64)[row] // step + place
+            spread = lambda v, none: pa.array(np.append(v, np.zeros(len(bare), v.dtype)), mask=none)  # noqa: E731, B023
+            size = pa.array(np.asarray(pc.fill_null(pc.list_value_length(batch.column(3)), 0)).astype(np.int64)[where], mask=np.append(place > 0, np.zeros(len(bare), bool)))
+            columns = [batch.column(0).take(pa.array(where)), batch.column(1).take(pa.array(where)), size, spread(index, ~there), *[spread(v, ~there) for v in out]]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = dict(blocks.dtypes)["call_id"]
-    return hops(blocks, window, step).mapInPandas(measure, f"call_id {kind}, sample_rate int, frame_idx long, rms double, magnitude double, centroid double, rolloff double, flatness double")
+    rows = with_after(blocks, window - step).select("call_id", F.col("sample_rate").cast("int"), F.col("start_sample").cast("long"), "samples", "after")
+    return rows.mapInArrow(measure, f"call_id {kind}, sample_rate int, n long, frame_idx long, " + ", ".join(f"{c} double" for c in names[4:]))
 
 
 def spectral_centroid(blocks: DataFrame, window: int = 512, step: int = 256, threshold_dbfs: float = -50.0) -> DataFrame:
     """Mean, spread and percentiles of the centroid over loud frames with any energy."""
-    s = spectra(blocks, window, step)
     c = F.when((F.col("magnitude") > 0) & (F.col("rms") >= amplitude_of(threshold_dbfs)), F.col("centroid"))
-    agg = s.withColumn("c", c).groupBy("call_id").agg(F.avg("c").alias("mean"), F.stddev_pop("c").alias("std"), F.percentile("c", F.array(F.lit(0.1), F.lit(0.9))).alias("q"), F.count("c").alias("measured"), F.count("*").alias("frames"))
+    agg = spectra(blocks, window, step).withColumn("c", c).groupBy("call_id").agg(*_size(), F.avg("c").alias("mean"), F.stddev_pop("c").alias("std"), F.percentile("c", F.array(F.lit(0.1), F.lit(0.9))).alias("q"), F.count("c").alias("measured"), F.count("frame_idx").alias("frames"))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return _settled(lengths(blocks).join(agg, "call_id", "left"), F.col("samples") < window, {
+    return _settled(agg, F.col("samples") < window, {
         "centroid_hz": zero("mean"), "centroid_std_hz": zero("std"), "centroid_p10_hz": zero(F.col("q")[0]), "centroid_p90_hz": zero(F.col("q")[1]), "measured_frames": F.col("measured"), "frames": F.col("frames"), "nyquist_hz": F.col("sample_rate") / 2,
     })
 
 
 def spectral_rolloff(blocks: DataFrame, window: int = 512, step: int = 256, fraction: float = 0.85, threshold_dbfs: float = -50.0) -> DataFrame:
     """Where most of the energy lies, and how flat the spectrum is, over loud frames."""
-    s = spectra(blocks, window, step, fraction)
     loud = F.col("rms") >= amplitude_of(threshold_dbfs)
-    agg = s.withColumns({"r": F.when(loud, F.col("rolloff")), "f": F.when(loud, F.col("flatness"))}).groupBy("call_id").agg(F.avg("r").alias("mean"), F.percentile("r", 0.9).alias("p90"), F.avg("f").alias("flat"), F.count("r").alias("measured"), F.count("*").alias("frames"))
-    df = lengths(blocks).join(agg, "call_id", "left")
-    return _settled(df, (F.col("samples") < window) | (F.coalesce("measured", F.lit(0)) == 0), {
+    s = spectra(blocks, window, step, fraction).withColumns({"r": F.when(loud, F.col("rolloff")), "f": F.when(loud, F.col("flatness"))})
+    df = s.groupBy("call_id").agg(*_size(), F.avg("r").alias("mean"), F.percentile("r", 0.9).alias("p90"), F.avg("f").alias("flat"), F.count("r").alias("measured"), F.count("frame_idx").alias("frames"))
+    return _settled(df, (F.col("samples") < window) | (F.col("measured") == 0), {
         "rolloff_hz": F.col("mean"), "rolloff_p90_hz": F.col("p90"), "flatness": F.col("flat"), "measured_frames": F.col("measured"), "frames": F.col("frames"), "rolloff_fraction": F.lit(fraction), "band_limited": F.col("mean") < 0.75 * F.col("sample_rate") / 2,
     })
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seconds_between, split_group
 from ..schemas import HYDRATOR
+from ..shared import shared_folder
 from .accounting import function_tally, group_lag, lag_seconds, unaccounted
 from .delivery import answered, call_trace, valid_result
 
@@ -133,46 +134,104 @@ def full_report(expected: DataFrame, results: DataFrame, dead_letters: DataFrame
 # Ranks and quantiles ---------------------------------------------------------------------------------------------
 
 
-def values_at(df: DataFrame, key: list[str], value: str, places: dict[str, Callable[[Column], Column]], buckets: int = 1024) -> DataFrame:
-    """Of each key the values at places of its sorted order (0 is the least): `places` give each from the number of values.
+#: Values of a key, or of a range of its values, that one task may sort.
+SORTED_AT_ONCE = 1 << 20
+#: Points that cut a range of values that is too large.
+CUTS = 64
+
+
+def _numbers(df: DataFrame, key: list[str], value: str) -> DataFrame:
+    return df.select(*key, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
+
+
+def _within(rows: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
+    """Values with the ranges of their key that hold them; null keys are keys, too."""
+    side = ranges.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)], *[c for c in ranges.columns if c not in key])
+    same = (F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high"))
+    for i, k in enumerate(key):
+        same = same & rows[k].eqNullSafe(F.col(f"_key{i}"))
+    return rows.join(side, same).drop(*[f"_key{i}" for i in range(len(key))])
+
 
-    No task sorts a whole key: values are counted in buckets between the key's least and greatest, and only the buckets
-    that hold a place are ranked. Nulls and NaN do not count.
+def ranges_at(rows: DataFrame, key: list[str], wanted: Column, bound: int) -> DataFrame:
+    """Ranges of values (_low to _high, with _before values below and _n inside) that hold the wanted places `_w`; of each at most `bound` values, or all of one value.
+
+    A range that holds more is cut at `CUTS` approximate quantiles and at values that equal one, and the parts that hold a
+    place are kept, so each round leaves about a 64th, however the values lie. A row a key and place is written each round.
     """
-    rows = df.select(*key, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
-    span = rows.groupBy(*key).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_total"))
-    width = F.col("_high") - F.col("_low")
-    bucket = F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("_low")) / width * buckets))).otherwise(0).cast("int")
-    cut = rows.join(span, key).withColumn("_bucket", bucket)
-    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = cut.groupBy(*key, "_bucket", "_total").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("_total")).cast("long").alias("at")) for name, place in places.items()])
-    held = histogram.withColumn("_w", F.filter(wanted, lambda w: (w["at"] >= F.col("_before")) & (w["at"] < F.col("_before") + F.col("_n")))).filter("size(_w) > 0")
-    inside = cut.select(*key, "_bucket", "_v").join(held.select(*key, "_bucket", "_before", "_w"), [*key, "_bucket"]).groupBy(*key, "_bucket", "_v", "_before", "_w").agg(F.count("*").alias("_n"))
-    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*key, "_bucket").orderBy("_v"))
+    spark = rows.sparkSession
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = shared_folder(spark, "ranges")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    whole = rows.groupBy(*key).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.lit(0).cast("long").alias("_before"), F.count("*").alias("_n"))
+    ranges = kept(whole.withColumns({"_total": F.col("_n"), "_w": wanted}))
+    large = (F.col("_n") > bound) & (F.col("_low") < F.col("_high"))
+    while not (big := ranges.filter(large)).isEmpty():
+        ids = [*key, "_low", "_high"]
+        cuts = _within(rows, big.select(*ids), key).groupBy(*ids).agg(F.percentile_approx("_v", [i / CUTS for i in range(CUTS + 1)], 10_000).alias("_cuts"))
+        same = F.lit(True)
+        named = cuts.select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(ids)], F.array_distinct("_cuts").alias("_cuts"))
+        for i, c in enumerate(ids):
+            same = same & F.col(c).eqNullSafe(F.col(f"_of{i}"))
+        cut = kept(big.join(named, same).select(*big.columns, "_cuts"))
+        # Even parts lie between cuts, odd ones are a cut's own value.
+        part = 2 * F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) + F.array_contains("_cuts", F.col("_v")).cast("int")
+        group = [*key, "_before", "_total", "_w"]
+        parts = _within(rows, cut, key).withColumn("_part", part).groupBy(*group, "_part").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+        below = F.coalesce(F.sum("_n").over(Window.partitionBy(*key, "_before").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = parts.withColumn("_before", F.col("_before") + below)
+        parts = parts.withColumn("_w", F.filter("_w", lambda w: (w["at"] >= F.col("_before")) & (w["at"] < F.col("_before") + F.col("_n")))).filter("size(_w) > 0")
+        ranges = kept(ranges.filter(~large).unionByName(parts.select(*ranges.columns)))
+    return ranges
+
+
+def _values_at(df: DataFrame, key: list[str], value: str, places: dict[str, Callable[[Column], Column]], bound: int | None) -> DataFrame:
+    bound = bound or SORTED_AT_ONCE
+    rows = _numbers(df, key, value)
+    wanted = lambda total: F.array(*[F.struct(F.lit(name).alias("name"), place(total).cast("long").alias("at")) for name, place in places.items()])
+    largest = rows.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    if largest <= bound:
+        counted, part = rows.groupBy(*key, "_v").agg(F.count("*").alias("_n")), Window.partitionBy(*key)
+        ranked = counted.withColumns({"_upto": F.sum("_n").over(part.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_total": F.sum("_n").over(part)})
+        at = {name: place(F.col("_total")).cast("long") for name, place in places.items()}
+        return ranked.groupBy(*key, "_total").agg(*[F.min(F.when(at[name] < F.col("_upto"), F.col("_v"))).alias(name) for name in places])
+    ranges = ranges_at(rows, key, wanted(F.col("_n")), bound)
+    inside = _within(rows, ranges, key).groupBy(*key, "_total", "_before", "_w", "_v").agg(F.count("*").alias("_n"))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*key, "_before").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     ranked = inside.withColumn("_upto", upto)
 
     def reached(name: str) -> Column:
         return F.exists("_w", lambda w: (w["name"] == name) & (w["at"] < F.col("_upto")))
 
-    return ranked.groupBy(*key).agg(*[F.min(F.when(reached(name), F.col("_v"))).alias(name) for name in places])
+    return ranked.groupBy(*key, "_total").agg(*[F.min(F.when(reached(name), F.col("_v"))).alias(name) for name in places])
+
+
+def values_at(df: DataFrame, key: list[str], value: str, places: dict[str, Callable[[Column], Column]], *, bound: int | None = None) -> DataFrame:
+    """Of each key the values at places of its sorted order (0 is the least): `places` give each from the number of values.
+
+    Keys of at most `bound` values (`SORTED_AT_ONCE`) are sorted. If one has more, values are narrowed down to ranges that hold a
+    place and at most `bound` values first (`ranges_at`), so no task sorts more. Nulls and NaN do not count.
+    """
+    return _values_at(df, key, value, places, bound).drop("_total")
 
 
-def nearest_ranks(df: DataFrame, key: list[str], value: str, percents: list[float]) -> DataFrame:
+def nearest_ranks(df: DataFrame, key: list[str], value: str, percents: list[float], *, bound: int | None = None) -> DataFrame:
     """The value at place round-half-even(p / 100 * (n - 1)) of each key, rounded to 4 places: columns p50 and so on."""
     at = {f"p{p:g}": (lambda n, p=p: F.least(n - 1, F.bround(F.lit(p / 100.0) * (n - 1)).cast("long"))) for p in percents}
-    return values_at(df, key, value, at).select(*key, *[F.bround(c, 4).alias(c) for c in at])
+    return values_at(df, key, value, at, bound=bound).select(*key, *[F.bround(c, 4).alias(c) for c in at])
 
 
-def quantiles(df: DataFrame, key: list[str], value: str, shares: list[float]) -> DataFrame:
+def quantiles(df: DataFrame, key: list[str], value: str, shares: list[float], *, bound: int | None = None) -> DataFrame:
     """Quantiles of each key, interpolated between neighbours: columns p50 and so on."""
     at, share = {}, {}
     for q in shares:
         name = f"p{q * 100:g}"
         at |= {f"{name}_low": lambda n, q=q: F.floor(F.lit(q) * (n - 1)), f"{name}_high": lambda n, q=q: F.ceil(F.lit(q) * (n - 1))}
         share[name] = q
-    total = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*key).agg(F.count("*").alias("_total"))
-    found = values_at(df, key, value, at).join(total, key)
+    found = _values_at(df, key, value, at, bound)
     part = lambda q: F.lit(q) * (F.col("_total") - 1) - F.floor(F.lit(q) * (F.col("_total") - 1))
     return found.select(*key, *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * part(q)).alias(n) for n, q in share.items()])
 

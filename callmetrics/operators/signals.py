@@ -62,11 +62,6 @@ def from_rows(rows: DataFrame, order: list[str], block: int = BLOCK, *, bucket_r
     return of_block.select(*key, (F.col("_block") * block).alias("start_sample"), F.transform("s", lambda v: v["value"].cast("float")).alias("samples"))
 
 
-def lengths(blocks: DataFrame) -> DataFrame:
-    """Samples of each call."""
-    return blocks.groupBy("call_id").agg(F.first("sample_rate").alias("sample_rate"), F.sum(F.size("samples")).cast("long").alias("samples"))
-
-
 def frames(blocks: DataFrame, size: int) -> DataFrame:
     """Tumbling frames: call_id, sample_rate, frame_idx, frame. An incomplete last frame is dropped."""
     whole = F.expr(f"size(samples) div {size}")
@@ -138,17 +133,42 @@ def pinned(blocks: DataFrame, full_scale: float) -> DataFrame:
     return blocks.select("call_id", F.col("sample_rate").cast("int"), F.col("start_sample").cast("long"), "samples").mapInArrow(measure, f"call_id {kind}, sample_rate int, n long, peak double, idx long")
 
 
+def with_after(blocks: DataFrame, most: int) -> DataFrame:
+    """The blocks with `after`, at least `most` samples of what follows each in its call; blocks that have enough of it stay as they are."""
+    if "after" in blocks.columns and most <= OVERLAP:
+        return blocks
+    return blocks.withColumn("after", F.slice(F.lead("samples").over(Window.partitionBy("call_id").orderBy("start_sample")), 1, most))
+
+
+def hop_frames(samples: pa.ListArray, after: pa.ListArray, window: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping frames of the blocks of a batch, each of `window` samples, every `step`: all samples with what follows each block, where each block's first frame starts there, and its number of frames. A block owns the frames that begin in it."""
+    x, begin, end = _flat(samples)
+    y, from_, to = _flat(after)
+    size, more = end - begin, np.minimum(to - from_, window - step)
+    start = np.cumsum(size + more) - (size + more)
+    flat = np.empty(int((size + more).sum()), np.float32)
+    flat[_ranges(start, size)] = x[_ranges(begin, size)]
+    flat[_ranges(start + size, more)] = y[_ranges(from_, more)]
+    own = np.minimum((size + more - window) // step + 1, -(-size // step))
+    return flat, start, np.where(size + more >= window, np.maximum(own, 0), 0)
+
+
 def hops(blocks: DataFrame, window: int, step: int) -> DataFrame:
-    """Overlapping frames of `window` samples every `step`; frames that span blocks take their end from the next block."""
-    if "after" in blocks.columns and window - step <= OVERLAP:
-        after = F.col("after")
-    else:
-        after = F.lead("samples").over(Window.partitionBy("call_id").orderBy("start_sample"))
-    joined = blocks.withColumn("x", F.concat("samples", F.coalesce(F.slice(after, 1, window - step), F.array().cast("array<float>"))))
-    # A block owns the frames that begin in it.
-    own = F.expr(f"greatest(0, least((size(x) - {window}) div {step} + 1, (size(samples) + {step} - 1) div {step}))")
-    cut = F.when((own > 0) & (F.size("x") >= window), F.transform(F.sequence(F.lit(0), own.cast("int") - 1), lambda i: F.slice("x", i * step + 1, window))).otherwise(F.array().cast("array<array<float>>"))
-    return joined.select("call_id", "sample_rate", F.expr(f"start_sample div {step}").alias("f"), F.posexplode(cut).alias("i", "frame")).select("call_id", "sample_rate", (F.col("f") + F.col("i")).cast("long").alias("frame_idx"), "frame")
+    """Overlapping frames as rows (call_id, sample_rate, frame_idx, frame), for measures of one's own."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, begin, count = hop_frames(batch.column(3), batch.column(4), window, step)
+            row = np.repeat(np.arange(len(count)), count)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            values = flat[(begin[row] + step * place)[:, None] + np.arange(window)].reshape(-1)
+            frame = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * window, pa.int32()), pa.array(values, pa.float32()))
+            index = np.asarray(batch.column(2)).astype(np.int64)[row] // step + place
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(index), frame], names=["call_id", "sample_rate", "frame_idx", "frame"])
+
+    kind = dict(blocks.dtypes)["call_id"]
+    rows = with_after(blocks, window - step).select("call_id", F.col("sample_rate").cast("int"), F.col("start_sample").cast("long"), "samples", "after")
+    return rows.mapInArrow(cut, f"call_id {kind}, sample_rate int, frame_idx long, frame array<float>")
 
 
 def power(frame: str = "frame"):

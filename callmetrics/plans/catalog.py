@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, fleet, operations
+from . import analysis, fleet, operations, recordings
 
-QUERIES = analysis.QUERIES | operations.QUERIES | fleet.QUERIES
-SQL = analysis.SQL | operations.SQL | fleet.SQL
+QUERIES = analysis.QUERIES | operations.QUERIES | fleet.QUERIES | recordings.QUERIES
+SQL = analysis.SQL | operations.SQL | fleet.SQL | recordings.SQL

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import object_key, text_of
-from ..operators.signals import BLOCK, OVERLAP
+from ..operators.signals import BLOCK
 from ..schemas import CANONICAL
+from .wav import SCHEMA, blocks_between
 
 
 def decoded(messages: DataFrame, *, call: str = "call_id", audio: str = "audio_id", ingested: str = "ingested_at") -> DataFrame:
@@ -93,37 +93,16 @@ def hydrated(good: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def wav_blocks(recordings: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of 16-bit PCM WAV recordings: call_id, content, sample_rate (claimed) in; call_id, sample_rate, start_sample, samples, after, error_code out.
+    """Blocks of WAV recordings that are given as bytes: call_id, content, sample_rate (claimed; null claims nothing) in; call_id, sample_rate, start_sample, samples, after, error_code out.
 
-    Bad bytes, another rate and more than one channel each give one row with an error and no samples.
+    Bad bytes, another rate and more than one channel each give one row with an error and no samples. Recordings that
+    are files are better read by ranges (`wav.wav_files`).
     """
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for call, raw, claimed in zip(pdf["call_id"], pdf["content"], pdf["sample_rate"], strict=True):
-                error, rate, samples = _wav(raw, claimed)
-                starts = range(0, max(1, len(samples)), block)
-                yield pd.DataFrame({"call_id": call, "sample_rate": rate, "start_sample": list(starts), "samples": [samples[i : i + block] for i in starts], "after": [samples[i + block : i + block + OVERLAP] for i in starts], "error_code": error})
-
-    return recordings.select("call_id", "content", "sample_rate").mapInPandas(decode, "call_id string, sample_rate int, start_sample long, samples array<float>, after array<float>, error_code string")
-
-
-def _wav(raw: bytes | None, claimed: int) -> tuple[str | None, int, np.ndarray]:
-    none, raw = np.zeros(0, np.float32), raw or b""
-    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
-        return "DECODE_ERROR", claimed, none
-    at, kind, data = 12, None, None
-    while at + 8 <= len(raw):
-        size = int.from_bytes(raw[at + 4 : at + 8], "little")
-        if raw[at : at + 4] == b"fmt ":
-            kind = np.frombuffer(raw[at + 8 : at + 24], np.dtype("<u2,<u2,<u4,<u4,<u2,<u2"))
-        elif raw[at : at + 4] == b"data":
-            data = raw[at + 8 : at + 8 + size]
-        at += 8 + size + size % 2
-    if kind is None or data is None or kind[0][0] != 1 or kind[0][5] != 16:
-        return "DECODE_ERROR", claimed, none
-    if int(kind[0][2]) != claimed:
-        return "SAMPLE_RATE_MISMATCH", claimed, none
-    if kind[0][1] != 1:
-        return "CHANNEL_MISMATCH", claimed, none
-    return None, claimed, np.frombuffer(data[: len(data) // 2 * 2], "<i2").astype(np.float32) / np.float32(32768)
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for call, raw, claimed in zip(*(batch.column(i) for i in range(3)), strict=True):
+                raw = raw.as_buffer() if raw.is_valid else pa.py_buffer(b"")
+                yield from blocks_between(call.as_py(), lambda at, n, raw=raw: raw[at : at + n].to_pybytes(), raw.size, 0, max(1, raw.size), block, claimed.as_py())
+
+    return recordings.select("call_id", "content", F.col("sample_rate").cast("int")).mapInArrow(decode, SCHEMA)
