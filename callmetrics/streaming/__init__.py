@@ -6,7 +6,6 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -84,7 +83,8 @@ def analysis(outcomes: DataFrame, out: str, checkpoint: str, function: str, vers
     return outcomes.writeStream.foreachBatch(route).option("checkpointLocation", f"{checkpoint}/{function}/{version}")
 
 
-def _route(batch: DataFrame, batch_id: int, out: str, at: str) -> None:
+def _route(batch: DataFrame, batch_id: int, out: str, at: str, given: DataFrame | None = None) -> None:
+    """Writes outcomes where they belong. With `given`, the references of the batch (call_id, attempt, reference as JSON), retries carry theirs."""
     done = claim_checked(batch.filter("status <> 'FAILED'"))
     land(done.filter("large_payload IS NOT NULL").select("payload_ref", "large_payload"), f"{out}/large_payloads/of={at}", batch_id)
     failures = routed(batch.filter("status = 'FAILED'").withColumn("retryable", F.col("error.retryable")))
@@ -94,45 +94,91 @@ def _route(batch: DataFrame, batch_id: int, out: str, at: str) -> None:
     results = done.select(*columns, "payload", "payload_ref").unionByName(lasting, allowMissingColumns=True).withColumn("envelope_version", F.lit(1))
     land(with_keys(results), f"{out}/results/of={at}", batch_id)
     land(dead_letter_rows(dead), f"{out}/dead_letters/of={at}", batch_id, "function_id")
-    land(retry_rows(failures.filter("route = 'RETRY'")), f"{out}/retry_queue/of={at}", batch_id)
+    waiting = retry_rows(failures.filter("route = 'RETRY'"))
+    if given is not None:
+        waiting = waiting.join(given.withColumn("attempt", F.col("attempt") + 1).dropDuplicates(["call_id", "attempt"]), ["call_id", "attempt"])
+    land(waiting, f"{out}/retry_queue/of={at}", batch_id)
 
 
-def retry_loop(references: DataFrame, analyze: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, function: str, version: str, now: Callable[[], object]) -> DataStreamWriter:
-    """Analysis with retries: each micro-batch of references also runs what is due of the retry queue, with the attempt that the queue says.
+class _Retries(StatefulProcessor):
+    """Per call the retries that are not due yet, each with a timer of its own; what has fired is remembered for a while, so that a batch that is run again wakes nobody twice."""
 
-    `analyze` takes references with `attempt` and gives outcomes as `analysis` takes them. Retries name their call only,
-    so the references of earlier batches are kept beside the queue. A retry is taken once: what a batch took is written
-    under its number before its outcomes are. `now` gives the time by which retries are due.
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "attempt int", "due_ms long, reference string")
+        self.fired = handle.getMapState("fired", "attempt int", "at_ms long", ttlDurationMs=self.keep_ms)
+
+    def _fire(self, key, now: int) -> Iterator[pd.DataFrame]:
+        ready = sorted((a[0], v[1]) for a, v in self.waiting.iterator() if v[0] <= now)
+        for attempt, _ in ready:
+            self.waiting.removeKey((attempt,))
+            self.fired.updateValue((attempt,), (now,))
+        if ready:
+            yield pd.DataFrame({"call_id": [key[0]] * len(ready), "attempt": [a for a, _ in ready], "reference": [r for _, r in ready]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        for pdf in rows:
+            for attempt, due_ms, reference in zip(pdf["attempt"], pdf["due_ms"], pdf["reference"], strict=True):
+                at = (int(attempt),)
+                if not self.waiting.containsKey(at) and not self.fired.containsKey(at):
+                    self.waiting.updateValue(at, (int(due_ms), reference))
+                    if due_ms > now:
+                        self.handle.registerTimer(int(due_ms))
+        yield from self._fire(key, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._fire(key, timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def due_retries(queue: DataFrame, keep_hours: int = 48) -> DataFrame:
+    """Of a stream of retries (call_id, attempt, due_at, reference) each when its time has come: call_id, attempt, reference.
+
+    Timers are those of processing time, so a retry fires whether or not there is new input, and the stream runs until it is
+    stopped (with availableNow, too, as a later timer is always possible). State is what waits, and, for
+    `keep_hours`, the numbers of attempts that have fired. Needs the RocksDB state store.
     """
-    at = f"{function}-{version}"
-    queue, seen, taken = (f"{out}/{name}/of={at}" for name in ("retry_queue", "seen", "retries_taken"))
+    rows = queue.select("call_id", F.col("attempt").cast("int").alias("attempt"), F.unix_millis("due_at").alias("due_ms"), "reference").groupBy("call_id")
+    return rows.transformWithStateInPandas(_Retries(keep_hours * 3_600_000), "call_id string, attempt int, reference string", "append", "ProcessingTime")
 
-    def there(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-        try:
-            return spark.read.parquet(path).filter(F.col("batch") < batch_id)
-        except AnalysisException:  # nothing was written yet
-            return None
+
+def retry_loop(references: DataFrame, analyze: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, function: str, version: str) -> tuple[DataStreamWriter, DataStreamWriter]:
+    """Analysis with retries, as two streams to be started both: one analyzes references and retries that are due, one holds retries until they are.
+
+    `analyze` takes references with `attempt` and gives outcomes as `analysis` takes them. A retry carries its reference
+    through the queue, so no history is read again; a retry that has fired leaves the state.
+    """
+    spark, at = references.sparkSession, f"{function}-{version}"
+    queue, ready = f"{out}/retry_queue/of={at}", f"{out}/retries_due/of={at}"
+    schema, columns = references.schema, references.columns
+    waiting = "call_id string, function_id string, function_version string, attempt int, delay_seconds double, due_at timestamp, reference string"
+    woken = "call_id string, attempt int, reference string"
+    for path, kind in ((queue, waiting), (ready, woken)):  # a stream of files needs its folder
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        land(batch, seen, batch_id)
-        fresh = batch.withColumn("attempt", F.lit(1))
-        waiting, before, known = there(spark, queue, batch_id), there(spark, taken, batch_id), there(spark, seen, batch_id)
-        if waiting is not None and known is not None:
-            again = due(waiting.select(*KEY, "attempt", "due_at"), F.lit(now()).cast("timestamp")).drop("due_at")
-            if before is not None:
-                again = again.join(before.select(*KEY, "attempt"), [*KEY, "attempt"], "left_anti")
-            land(again, taken, batch_id)
-            again = spark.read.schema(again.schema).parquet(f"{taken}/batch={batch_id}")
-            once = latest(known, ["call_id"], ["batch"]).drop("batch")
-            fresh = fresh.unionByName(once.join(again.select("call_id", "attempt"), "call_id"))
-        outcomes = analyze(fresh).persist()
+        batch = batch.persist()
+        outcomes = analyze(batch).persist()
         try:
-            _route(outcomes, batch_id, out, at)
+            _route(outcomes, batch_id, out, at, batch.select("call_id", "attempt", F.to_json(F.struct(*columns)).alias("reference")))
         finally:
             outcomes.unpersist()
+            batch.unpersist()
 
-    return references.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/{function}/{version}")
+    again = spark.readStream.schema(woken).parquet(ready).select(F.from_json("reference", schema).alias("r"), "attempt").select("r.*", "attempt")
+    both = references.withColumn("attempt", F.lit(1)).unionByName(again.select(*columns, "attempt"))
+    held = due_retries(spark.readStream.schema(waiting).option("recursiveFileLookup", True).parquet(queue))
+    return (
+        both.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/{function}/{version}"),
+        held.writeStream.format("parquet").option("path", ready).option("checkpointLocation", f"{checkpoint}/{function}/{version}-retries").outputMode("append"),
+    )
 
 
 def live_tail(events: DataFrame, path: str, checkpoint: str, since: Column | None = None) -> DataStreamWriter:
@@ -173,56 +219,65 @@ def windowed_rates(events: DataFrame, every: str = "5 minutes", slide: str | Non
 
 
 class _Completeness(StatefulProcessor):
-    """Per call the functions that have answered; one marker, when all have or when time is up."""
+    """Per call the functions that have answered; one marker, when all have or when time is up. Then the answers go, and after a while the memory of the marker, too."""
 
-    def __init__(self, expected: list[str], timeout_ms: int):
-        self.expected, self.timeout_ms = set(expected), timeout_ms
+    def __init__(self, expected: list[str], timeout_ms: int, keep_ms: int):
+        self.expected, self.timeout_ms, self.keep_ms = set(expected), timeout_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.answers = handle.getMapState("answers", "function_id string", "status string")
-        self.done = handle.getValueState("done", "emitted boolean")
+        self.done = handle.getValueState("done", "until_ms long")
 
-    def _marker(self, key, how: str) -> pd.DataFrame:
-        seen = {k[0] for k in self.answers.keys()}
-        return pd.DataFrame({"call_id": [key[0]], "marker": [how], "answered": [len(seen & self.expected)], "missing": [",".join(sorted(self.expected - seen))]})
+    def _closed(self, key, how: str, now: int) -> pd.DataFrame:
+        seen = {k[0] for k in self.answers.keys()} & self.expected
+        self.answers.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.done.update((now + self.keep_ms,))
+        self.handle.registerTimer(now + self.keep_ms)
+        return pd.DataFrame({"call_id": [key[0]], "marker": [how], "answered": [len(seen)], "missing": [",".join(sorted(self.expected - seen))]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        closed, first = self.done.exists(), not self.done.exists() and not any(True for _ in self.answers.keys())
-        unhydrated = False
+        if self.done.exists():
+            for _ in rows:
+                pass
+            return
+        first, unhydrated, earliest, latest_at = not any(True for _ in self.answers.keys()), False, None, 0
         for pdf in rows:
-            for function, status in zip(pdf["function_id"], pdf["status"], strict=True):
+            for function, status, at in zip(pdf["function_id"], pdf["status"], pdf["at_ms"], strict=True):
+                earliest, latest_at = int(at) if earliest is None else min(earliest, int(at)), max(latest_at, int(at))
                 if status == "UNHYDRATED":
                     unhydrated = True
-                elif not closed:
+                else:
                     self.answers.updateValue((function,), (status,))
-        if closed:
-            return
+        watermark = timerValues.getCurrentWatermarkInMs()
         if unhydrated or self.expected <= {k[0] for k in self.answers.keys()}:
-            yield self._marker(key, "unhydrated" if unhydrated else "complete")
-            self.done.update((True,))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-        elif first:
-            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.timeout_ms)
+            yield self._closed(key, "unhydrated" if unhydrated else "complete", max(latest_at, watermark))
+        elif first:  # the watermark is 0 in the first batch, so the call's own time counts
+            self.handle.registerTimer(max(earliest or 0, watermark) + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.done.exists():
-            yield self._marker(key, "timeout")
-            self.done.update((True,))
+        if self.done.exists():
+            self.done.clear()
+        else:
+            yield self._closed(key, "timeout", max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
 
     def close(self) -> None:
         pass
 
 
-def completeness(answers: DataFrame, expected: list[str], timeout_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+def completeness(answers: DataFrame, expected: list[str], timeout_seconds: int = 3600, late: str = "10 minutes", keep_seconds: int = 48 * 3600) -> DataFrame:
     """One marker a call on a stream of answers (call_id, function_id, status, at): complete, timeout or unhydrated.
 
     `expected` are the active functions, configuration. A status of UNHYDRATED closes a call whose recording never came.
+    Time is up `timeout_seconds` after the call's first answer by its own time, or after the watermark if that is later. A closed call is remembered for
+    `keep_seconds` of event time, in which late answers change nothing; then nothing of it is left in the state. Rows without a time are not seen.
     Needs the RocksDB state store.
     """
-    stream = answers.select("call_id", "function_id", "status", "at").withWatermark("at", late).groupBy("call_id")
-    return stream.transformWithStateInPandas(_Completeness(expected, timeout_seconds * 1000), "call_id string, marker string, answered long, missing string", "append", "EventTime")
+    stream = answers.filter("at IS NOT NULL").select("call_id", "function_id", "status", "at", F.unix_millis("at").alias("at_ms")).withWatermark("at", late).groupBy("call_id")
+    processor = _Completeness(expected, timeout_seconds * 1000, keep_seconds * 1000)
+    return stream.transformWithStateInPandas(processor, "call_id string, marker string, answered long, missing string", "append", "EventTime")
 
 
 def run_available(writer: DataStreamWriter) -> None:

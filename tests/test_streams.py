@@ -1,9 +1,11 @@
 """Streams: replayed batches, retries, tails, progress; erasure, poison, codec, ad-hoc runs."""
 
 import json
+import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from callmetrics import streaming as S
@@ -44,26 +46,115 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert {r["call_id"] for r in spark.read.parquet(f"{out}/dead_letters").collect()} == {"c", "d"} and spark.read.parquet(f"{out}/retry_queue").first()["attempt"] == 2
 
 
-def test_retries_run_with_the_next_batch(spark, tmp_path):
-    schema = "call_id string"
-    for i, calls in enumerate((["ok", "twice", "never"], ["x"], ["y"], ["z"])):
-        spark.createDataFrame([(c,) for c in calls], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+def analyzer(failed_at):
+    """Outcomes: `never` always fails, `twice` at its first attempt."""
 
     def analyze(references):
         bad = (F.col("call_id") == "never") | ((F.col("call_id") == "twice") & (F.col("attempt") < 2))
         null = lambda kind: F.lit(None).cast(kind)
         error = F.when(bad, F.struct(F.lit("BUSY").alias("code"), F.lit("later").alias("message"), F.lit(True).alias("retryable")))
         return references.select(
-            "call_id", F.lit("f").alias("function_id"), F.lit("1").alias("function_version"), F.when(bad, "FAILED").otherwise("SUCCESS").alias("status"), error.alias("error"), F.lit("{}").alias("payload"), null("string").alias("payload_ref"),
-            F.concat("call_id", F.lit(".flac")).alias("input_object_key"), "attempt", F.lit(3).alias("retry_budget"), F.lit(2.0).alias("retry_backoff_seconds"), F.lit(5.0).alias("retry_backoff_max_seconds"), null("binary").alias("key"), null("binary").alias("body"),
-            null("string").alias("source_topic"), null("int").alias("source_partition"), null("long").alias("source_offset"), F.lit(NOW).alias("failed_at"),
+            "call_id", F.lit("f").alias("function_id"), F.lit("1").alias("function_version"), F.when(bad, "FAILED").otherwise("SUCCESS").alias("status"), error.alias("error"), F.hex("body").alias("payload"), null("string").alias("payload_ref"),
+            F.concat("call_id", F.lit(".flac")).alias("input_object_key"), "attempt", F.lit(3).alias("retry_budget"), F.lit(2.0).alias("retry_backoff_seconds"), F.lit(5.0).alias("retry_backoff_max_seconds"), null("binary").alias("key"), "body",
+            null("string").alias("source_topic"), null("int").alias("source_partition"), null("long").alias("source_offset"), failed_at.alias("failed_at"),
         )
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    S.run_available(S.retry_loop(stream, analyze, f"{tmp_path}/out", f"{tmp_path}/cp", "f", "1", lambda: NOW + timedelta(hours=1)))
-    results = {(r["call_id"], r["status"], r["attempt"]) for r in spark.read.parquet(f"{tmp_path}/out/results").collect()}
-    assert results == {("ok", "SUCCESS", 1), ("twice", "SUCCESS", 2), ("never", "FAILED", 3), ("x", "SUCCESS", 1), ("y", "SUCCESS", 1), ("z", "SUCCESS", 1)}
+    return analyze
+
+
+REFERENCE = "call_id string, body binary"
+
+
+def state(spark, checkpoint, variable):
+    """What a stateful query keeps under a name."""
+    return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint).collect()
+
+
+def run_until(writers, look, good, rows=0, seconds=60):
+    """Runs streams side by side until what they have written is good, and `rows` rows were read by the first; whether it was so in time."""
+    queries = [w.trigger(processingTime="300 milliseconds").start() for w in writers]
+    try:
+        end = time.time() + seconds
+        while time.time() < end:
+            time.sleep(0.5)
+            for q in queries:
+                assert q.isActive, q.exception()
+            try:
+                found = look()
+            except AnalysisException:  # nothing is written yet
+                continue
+            if good(found) and sum(p.numInputRows for p in queries[0].recentProgress) >= rows:
+                return True
+        return False
+    finally:
+        for q in queries:
+            q.stop()
+
+
+def test_retries_run_once_their_time_has_come(spark, tmp_path):
+    for i, calls in enumerate((["ok", "twice", "never"], ["x"])):
+        spark.createDataFrame([(c, b"\x00\xff") for c in calls], REFERENCE).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(REFERENCE).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    results = lambda: {(r["call_id"], r["status"], r["attempt"], r["payload"]) for r in spark.read.parquet(f"{tmp_path}/out/results").collect()}
+    want = {("ok", "SUCCESS", 1, "00FF"), ("twice", "SUCCESS", 2, "00FF"), ("never", "FAILED", 3, None), ("x", "SUCCESS", 1, "00FF")}
+    assert run_until(S.retry_loop(stream, analyzer(F.lit(NOW)), f"{tmp_path}/out", f"{tmp_path}/cp", "f", "1"), results, lambda found: found == want)
     assert [r["call_id"] for r in spark.read.parquet(f"{tmp_path}/out/dead_letters").collect()] == ["never"]
+    assert state(spark, f"{tmp_path}/cp/f/1-retries", "waiting") == []  # finished calls are gone
+
+
+def test_a_retry_fires_without_input(spark, tmp_path):
+    """The streams run on while nothing arrives; a retry comes when its time has come, and no sooner."""
+    spark.createDataFrame([("twice", b"1")], REFERENCE).write.parquet(f"{tmp_path}/in")
+    writers = S.retry_loop(S.file_messages(spark, f"{tmp_path}/in", REFERENCE), analyzer(F.current_timestamp()), f"{tmp_path}/out", f"{tmp_path}/cp", "f", "1")
+    attempts = lambda: [r["attempt"] for r in spark.read.parquet(f"{tmp_path}/out/results").collect()]
+    assert run_until(writers, attempts, lambda found: found == [2])
+    waited = spark.read.parquet(f"{tmp_path}/out/retry_queue").select("due_at").first()[0]
+    assert max((p for p in (tmp_path / "out" / "retries_due" / "of=f-1").glob("*.parquet")), key=lambda p: p.stat().st_mtime).stat().st_mtime >= waited.timestamp() - 0.01
+
+
+def test_a_queue_that_is_written_again_wakes_nobody_twice(spark, tmp_path):
+    schema = "call_id string, attempt int, due_at timestamp, reference string"
+    rows = [("a", 2, NOW, "{}"), ("a", 3, datetime(2999, 1, 1), "{}"), ("b", 2, NOW, "{}")]
+    for i in range(2):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    writer = S.due_retries(stream).writeStream.format("parquet").option("path", f"{tmp_path}/due").option("checkpointLocation", f"{tmp_path}/cp")
+    due = lambda: sorted((r["call_id"], r["attempt"]) for r in spark.read.parquet(f"{tmp_path}/due").collect())
+    assert run_until([writer], due, lambda found: found == [("a", 2), ("b", 2)], rows=6)
+    assert due() == [("a", 2), ("b", 2)]
+    assert len(state(spark, f"{tmp_path}/cp", "waiting")) == 1  # the one of the year 2999
+
+
+ANSWERS = "call_id string, function_id string, status string, at timestamp"
+
+
+def markers(spark, tmp_path, batches, **options):
+    """Markers of answers that arrive batch by batch: (call, marker, answered, missing)."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, ANSWERS).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(ANSWERS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    found = S.completeness(stream, ["a", "b"], **options)
+    S.run_available(found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp"))
+    return sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+
+def at(minutes):
+    return NOW + timedelta(minutes=minutes)
+
+
+def test_a_call_of_the_first_batch_has_its_time(spark, tmp_path):
+    """The watermark is 0 in the first batch; an answer two batches later is still in time."""
+    batches = [[("c1", "a", "SUCCESS", at(0)), ("c2", "a", "SUCCESS", at(0))], [("c3", "a", "SUCCESS", at(20))], [("c1", "b", "FAILED", at(30))], [("z", "a", "SUCCESS", at(200))], [("z", "b", "SUCCESS", at(201))]]
+    got = markers(spark, tmp_path, batches, timeout_seconds=3600)
+    assert got == [("c1", "complete", 2, ""), ("c2", "timeout", 1, "b"), ("c3", "timeout", 1, "b"), ("z", "complete", 2, "")]
+
+
+def test_state_of_closed_calls_ends(spark, tmp_path):
+    """Answers go with the marker, the memory of it after a while; until then late answers change nothing."""
+    batches = [[("c1", "a", "SUCCESS", at(0)), ("c1", "b", "SUCCESS", at(0)), ("u", "a", "UNHYDRATED", at(0)), ("n", "a", "SUCCESS", None)], [("c1", "a", "SUCCESS", at(5)), ("y", "a", "SUCCESS", at(30))], [("z", "a", "SUCCESS", at(500)), ("z", "b", "SUCCESS", at(500))], [("w", "a", "SUCCESS", at(505))]]
+    got = markers(spark, tmp_path, batches, timeout_seconds=600, keep_seconds=7200)
+    assert got == [("c1", "complete", 2, ""), ("u", "unhydrated", 0, "a,b"), ("y", "timeout", 1, "b"), ("z", "complete", 2, "")]
+    assert {r["key"]["call_id"] for r in state(spark, f"{tmp_path}/cp", "done")} == {"z", "y"} and {r["key"]["call_id"] for r in state(spark, f"{tmp_path}/cp", "answers")} == {"w"}
 
 
 def test_retries_wait_until_they_are_due(spark):
