@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,14 +187,20 @@ def probabilities(net: Network, t: K.Texts) -> np.ndarray:
 
 
 def _thinned(labelled: DataFrame, sample: int) -> tuple[DataFrame, list[str]]:
-    """About `sample` rows of each language, chosen by a hash of the id, and the languages."""
-    counts = labelled.groupBy("lang").count().collect()  # a row for each language
-    names = sorted(r["lang"] for r in counts)
+    """`sample` rows of each language, or all if there are fewer: those with the least hashes of id and text. And the languages.
+
+    The bound is exact whatever ids and texts repeat: first the largest hash that counts is found for each language, by the
+    hashes alone, of which each task sends its least ones; rows up to it are then numbered, as equal rows have equal hashes.
+    """
+    names = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())  # a row for each language
     if not names:
         return labelled.limit(0), names
-    some = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in counts], "lang string, _share double")
-    chance = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return labelled.join(F.broadcast(some), "lang").filter(chance < F.col("_share")).drop("_share"), names
+    rows = labelled.withColumn("_hash", F.xxhash64(F.lit("language sample"), "doc_id", "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
+    least = rows.select("lang", "_hash").withColumn("_place", place).filter(F.col("_place") <= sample)
+    last = least.groupBy(F.col("lang").alias("_lang")).agg(F.max("_hash").alias("_last"))
+    near = rows.join(F.broadcast(last), F.col("lang") == F.col("_lang")).filter("_hash <= _last")
+    return near.withColumn("_place", place).filter(F.col("_place") <= sample).select(*labelled.columns), names
 
 
 def _chance_words(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +217,7 @@ def _chance_words(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndar
 def fit(labelled: DataFrame, *, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, words_each: int = 12_000, seed: int = 7, background: bool = False) -> Network | None:
     """A network from doc_id, text and lang; null if there is no language. With `background` it also learns words of chance letters, as a last class without a name.
 
-    The sample has about `sample` documents a language and at most `chars` characters of each. Of these, `words_each` words a language are learned.
+    The sample has at most `sample` documents a language and at most `chars` characters of each. Of these, `words_each` words a language are learned.
     """
     chosen, names = _thinned(labelled.filter("text IS NOT NULL AND lang IS NOT NULL"), sample)
     if not names:
