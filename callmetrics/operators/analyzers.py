@@ -11,11 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import amplitude_db, amplitude_of, power_db
-from .signals import bridged, hop_frames, measured, pinned, power, runs, with_after
+from .signals import hop_frames, joined_runs, measured, pinned_runs, quiet_runs, with_after
 
 FRAME_SECONDS = 0.020
 
@@ -43,18 +43,15 @@ def duration_rms(blocks: DataFrame, references: DataFrame | None = None) -> Data
 
 
 def _size() -> tuple[Column, Column]:
-    """Rate and size of a call, over rows of `measured` or `pinned`."""
+    """Rate and size of a call, over rows with the samples `n` of its blocks."""
     return F.first("sample_rate").alias("sample_rate"), F.sum("n").alias("samples")
 
 
 def silence_ratio(blocks: DataFrame, frame: int = 320, threshold_dbfs: float = -50.0) -> DataFrame:
     """Share and length of silence; a frame is silent below the threshold."""
-    f = measured(blocks, frame).select("call_id", "sample_rate", "n", F.col("frame_idx").alias("idx"), (F.sqrt("power") < amplitude_of(threshold_dbfs)).alias("quiet"))
-    longest = runs(f.filter("quiet").select("call_id", "idx"), ["call_id"]).groupBy("call_id").agg(F.max("length").alias("longest"))
-    agg = f.groupBy("call_id").agg(
-        *_size(), F.count("idx").alias("frames"), F.count_if("quiet").alias("silent"), F.min(F.when(~F.col("quiet"), F.col("idx"))).alias("first_loud"), F.max(F.when(~F.col("quiet"), F.col("idx"))).alias("last_loud")
-    )
-    df = agg.join(longest, "call_id", "left")
+    pieces = joined_runs(quiet_runs(blocks, frame, 10.0 ** (threshold_dbfs / 20.0)))
+    by_run = pieces.groupBy("call_id", "run").agg(F.first("sample_rate").alias("sample_rate"), *[F.sum(c).alias(c) for c in ("n", "frames", "quiet", "length")], F.min("first_loud").alias("first_loud"), F.max("last_loud").alias("last_loud"))
+    df = by_run.groupBy("call_id").agg(*_size(), F.sum("frames").alias("frames"), F.sum("quiet").alias("silent"), F.max("length").alias("longest"), F.min("first_loud").alias("first_loud"), F.max("last_loud").alias("last_loud"))
     n = F.col("frames")
     seconds = lambda c: c * frame / F.col("sample_rate")
     return _settled(df, F.col("samples") == 0, {
@@ -69,11 +66,9 @@ def silence_ratio(blocks: DataFrame, frame: int = 320, threshold_dbfs: float = -
 
 def clipping(blocks: DataFrame, full_scale: float = 0.999, min_run: int = 3) -> DataFrame:
     """Runs of samples at full scale."""
-    x = pinned(blocks, full_scale)
-    r = runs(x.filter("idx IS NOT NULL").select("call_id", "idx"), ["call_id"])
+    by_run = joined_runs(pinned_runs(blocks, full_scale)).groupBy("call_id", "run").agg(F.first("sample_rate").alias("sample_rate"), F.sum("n").alias("n"), F.max("peak").alias("peak"), F.sum("length").alias("length"))
     long = F.when(F.col("length") >= min_run, F.col("length"))
-    agg = r.groupBy("call_id").agg(F.sum("length").alias("pinned"), F.coalesce(F.sum(long), F.lit(0)).alias("clipped"), F.count(long).alias("events"), F.coalesce(F.max(long), F.lit(0)).alias("longest"))
-    df = x.groupBy("call_id").agg(*_size(), F.max("peak").alias("peak")).join(agg, "call_id", "left")
+    df = by_run.groupBy("call_id").agg(*_size(), F.max("peak").alias("peak"), F.sum("length").alias("pinned"), F.sum(long).alias("clipped"), F.count(long).alias("events"), F.max(long).alias("longest"))
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return _settled(df, F.col("samples") == 0, {
         "clipped": n("events") > 0, "clipped_sample_ratio": n("clipped") / F.col("samples"), "clipped_seconds": n("clipped") / F.col("sample_rate"),
@@ -82,20 +77,19 @@ def clipping(blocks: DataFrame, full_scale: float = 0.999, min_run: int = 3) ->
 
 
 def zero_crossing_rate(blocks: DataFrame, frame: int = 320, threshold_dbfs: float = -50.0) -> DataFrame:
-    """Sign changes a second within frames. A call shorter than a frame is one frame of an even number of samples."""
-    f = measured(blocks, frame)
-    short = f.groupBy("call_id").agg(F.sum("n").alias("samples")).filter((F.col("samples") >= 2) & (F.col("samples") < frame)).select("call_id", F.expr("samples div 2 * 2").cast("int").alias("n"))
-    little = blocks.join(short, "call_id").groupBy("call_id").agg(F.first("sample_rate").alias("sample_rate"), F.first("n").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start_sample", "samples"))), lambda b: b["samples"])).alias("x"))
-    little = little.select("call_id", "sample_rate", F.slice("x", 1, F.col("n")).alias("frame"))
-    negative = lambda x: (x < 0) | ((x == 0) & (F.atan2(F.lit(0.0), x) > 1))  # noqa: E731  of -0.0 too
-    pairs = F.zip_with(F.slice("frame", 1, F.size("frame") - 1), F.slice("frame", 2, F.size("frame") - 1), lambda a, b: (negative(a) != negative(b)).cast("int"))
-    little = little.select("call_id", "sample_rate", F.lit(None).cast("long").alias("n"), power().alias("power"), F.aggregate(pairs, F.lit(0), lambda a, x: a + x).cast("long").alias("crossings"), F.size("frame").alias("size"))
-    f = f.select("call_id", "sample_rate", "n", "power", "crossings", F.lit(frame).alias("size")).union(little)
-    rate, voiced = F.col("crossings") / (F.col("size") / F.col("sample_rate")), F.sqrt("power") >= amplitude_of(threshold_dbfs)
-    f = f.withColumns({"rate": rate, "voiced": voiced})
-    agg = f.groupBy("call_id").agg(F.sum("n").alias("samples"), F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("std"), F.avg(F.when(F.col("voiced"), F.col("rate"))).alias("voiced_rate"), F.avg(F.col("voiced").cast("double")).alias("voiced_ratio"), F.count("power").alias("frames"))
+    """Sign changes a second within frames. A call shorter than a frame, which is one block, is one frame of an even number of samples."""
+    limit = amplitude_of(threshold_dbfs)
+    f = measured(blocks, frame).withColumns({"rate": F.col("crossings") / (F.lit(frame) / F.col("sample_rate")), "voiced": F.sqrt("power") >= limit})
+    short_rate, short_voiced = F.col("short_crossings") / (F.col("short_size") / F.col("sample_rate")), F.sqrt("short_power") >= limit
+    agg = f.groupBy("call_id").agg(
+        *_size(), F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("std"), F.avg(F.when(F.col("voiced"), F.col("rate"))).alias("voiced_rate"), F.avg(F.col("voiced").cast("double")).alias("voiced_ratio"), F.count("power").alias("frames"),
+        F.max(short_rate).alias("short_rate"), F.max(short_voiced.cast("double")).alias("short_voiced"),
+    )
+    alone = F.col("frames") == 0
     return _settled(agg, F.col("samples") < 2, {
-        "zcr_per_second": F.col("mean"), "zcr_std": F.col("std"), "voiced_zcr_per_second": F.coalesce("voiced_rate", F.lit(0.0)), "voiced_frame_ratio": F.col("voiced_ratio"), "frames": F.col("frames"),
+        "zcr_per_second": F.when(alone, F.col("short_rate")).otherwise(F.col("mean")), "zcr_std": F.when(alone, F.lit(0.0)).otherwise(F.col("std")),
+        "voiced_zcr_per_second": F.when(alone, F.col("short_rate") * F.col("short_voiced")).otherwise(F.coalesce("voiced_rate", F.lit(0.0))),
+        "voiced_frame_ratio": F.when(alone, F.col("short_voiced")).otherwise(F.col("voiced_ratio")), "frames": F.greatest("frames", F.lit(1)),
     })
 
 
@@ -171,24 +165,33 @@ def spectral_rolloff(blocks: DataFrame, window: int = 512, step: int = 256, frac
     })
 
 
-def _active(blocks: DataFrame, frame: int, above_db: float) -> tuple[DataFrame, DataFrame]:
-    f = measured(blocks, frame)
-    level = f.groupBy("call_id").agg(*_size(), F.percentile("power", 0.1).alias("noise"), F.count("power").alias("frames")).withColumn("threshold", F.when(F.col("noise") <= 0, 1e-5).otherwise(F.col("noise") * 10.0 ** (above_db / 10.0)))
-    return f.select("call_id", F.col("frame_idx").alias("idx"), "power").join(level.select("call_id", "threshold"), "call_id").filter("power > threshold").select("call_id", "idx"), level
+def _segments(blocks: DataFrame, frame: int, above_db: float, max_gap: int) -> DataFrame:
+    """Of each call its segments, and as segment 0 what is before them: n, frames, noise, threshold, start, length (null without an active frame). One pass over the samples, one shuffle."""
+    f = measured(blocks, frame).select("call_id", "sample_rate", "n", F.col("frame_idx").alias("idx"), "power")
+    call = Window.partitionBy("call_id")
+    w = call.orderBy("idx")
+    f = f.withColumn("noise", F.percentile("power", 0.1).over(call))
+    f = f.withColumn("threshold", F.when(F.col("noise") <= 0, 1e-5).otherwise(F.col("noise") * 10.0 ** (above_db / 10.0)))
+    f = f.withColumn("on", F.when(F.col("power") > F.col("threshold"), F.col("idx")))
+    before = F.max("on").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("on").isNotNull(), F.coalesce(F.col("on") - before - 1 > max_gap, F.lit(True)).cast("int")).otherwise(0)
+    f = f.withColumn("_new", new).withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return f.groupBy("call_id", "segment").agg(F.first("sample_rate").alias("sample_rate"), F.sum("n").alias("n"), F.count("power").alias("frames"), F.first("noise").alias("noise"), F.first("threshold").alias("threshold"), F.min("on").alias("start"), (F.max("on") - F.min("on") + 1).alias("length"))
 
 
 def speech_segments(blocks: DataFrame, frame: int = 320, above_db: float = 12.0, max_gap: int = 15, min_segment: int = 10) -> DataFrame:
     """Segments of speech: call_id, start, length, in frames. Calls with too few frames are the caller's to leave out."""
-    active, _ = _active(blocks, frame, above_db)
-    return bridged(active, ["call_id"], max_gap).filter(F.col("length") >= min_segment)
+    return _segments(blocks, frame, above_db, max_gap).filter(F.col("length") >= min_segment).select("call_id", "start", "length")
 
 
 def energy_vad(blocks: DataFrame, frame: int = 320, above_db: float = 12.0, max_gap: int = 15, min_segment: int = 10, least_frames: int = 10) -> DataFrame:
     """Speech by energy above the noise floor."""
-    active, level = _active(blocks, frame, above_db)
-    s = bridged(active, ["call_id"], max_gap).filter(F.col("length") >= min_segment)
-    agg = s.groupBy("call_id").agg(F.count("*").alias("segments"), F.sum("length").alias("speech"), F.avg("length").alias("mean"), F.max("length").alias("longest"), F.min("start").alias("first"))
-    df = level.join(agg, "call_id", "left")
+    s = _segments(blocks, frame, above_db, max_gap)
+    kept = lambda c: F.when(F.col("length") >= min_segment, F.col(c))
+    df = s.groupBy("call_id").agg(
+        *_size(), F.sum("frames").alias("frames"), F.first("threshold").alias("threshold"),
+        F.count(kept("length")).alias("segments"), F.sum(kept("length")).alias("speech"), F.avg(kept("length")).alias("mean"), F.max(kept("length")).alias("longest"), F.min(kept("start")).alias("first"),
+    )
     seconds = lambda c: c * frame / F.col("sample_rate")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return _settled(df, F.col("frames") < least_frames, {

@@ -104,7 +104,7 @@ def aligned_frames(left: DataFrame, right: DataFrame, names: tuple[str, str] = (
 
 
 def trace_of(calls: list[str], references: DataFrame, results: DataFrame, dead_letters: DataFrame, declarations: DataFrame, order: list[str]) -> DataFrame:
-    """The trace of some calls. Each side is filtered at its scan, so the cost is that of the calls asked for."""
+    """The trace of some calls. Each side is filtered before it is joined; what is read for that is the sides' affair: give the `lookup` of keyed tables, which opens the calls' buckets alone."""
     mine = F.col("call_id").isin(*calls)
     return call_trace(references.filter(mine), results.filter(mine), dead_letters.filter(mine), declarations, order)
 

@@ -80,24 +80,36 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
 
 
+def _framed(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the blocks of a batch: their samples back to back, where each begins and ends, its number of whole frames, and each frame's power (mean square, in doubles) and changes of sign (that of -0.0 included)."""
+    x, begin, end = _flat(batch.column(3))
+    whole = (end - begin) // size
+    power, crossings = np.zeros(0), np.zeros(0, np.int64)
+    if whole.any():
+        at = _ranges(begin, whole * size)
+        frame = (x if len(at) == len(x) else x[at]).reshape(-1, size)
+        square = frame.astype(np.float64)
+        np.multiply(square, square, out=square)
+        sign = np.signbit(frame)
+        power, crossings = square.sum(axis=1) / size, (sign[:, 1:] != sign[:, :-1]).sum(axis=1)
+    return x, begin, end, whole, power, crossings
+
+
+def _blocks_for(blocks: DataFrame) -> tuple[DataFrame, str]:
+    """The columns that the measures read, and the type of call_id."""
+    return blocks.select("call_id", F.col("sample_rate").cast("int"), F.col("start_sample").cast("long"), "samples"), dict(blocks.dtypes)["call_id"]
+
+
 def measured(blocks: DataFrame, size: int) -> DataFrame:
-    """Tumbling frames by their measures alone, one pass over the samples: call_id, sample_rate, n, frame_idx, power (mean square, in doubles), crossings (changes of sign, that of -0.0 included).
+    """Tumbling frames by their measures alone, one pass over the samples: call_id, sample_rate, n, frame_idx, power, crossings, and for a block without a whole frame short_size, short_power, short_crossings of an even number of its samples.
 
-    `n`, the samples of the block, stands on one row of each block, also of a block without a frame, which has no other value there.
+    `n`, the samples of the block, stands on one row of each block, also of a block without a frame, which has no frame's value there.
     """
+    names = ["call_id", "sample_rate", "n", "frame_idx", "power", "crossings", "short_size", "short_power", "short_crossings"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, begin, end = _flat(batch.column(3))
-            whole = (end - begin) // size
-            power, crossings = np.zeros(0), np.zeros(0, np.int64)
-            if whole.any():
-                at = _ranges(begin, whole * size)
-                frame = (x if len(at) == len(x) else x[at]).reshape(-1, size)
-                square = frame.astype(np.float64)
-                np.multiply(square, square, out=square)
-                sign = np.signbit(frame)
-                power, crossings = square.sum(axis=1) / size, (sign[:, 1:] != sign[:, :-1]).sum(axis=1)
+            x, begin, end, whole, power, crossings = _framed(batch, size)
             rows = np.maximum(whole, 1)
             row = np.repeat(np.arange(len(whole)), rows)
             place = _ranges(np.zeros(len(rows), np.int64), rows)
@@ -105,15 +117,61 @@ def measured(blocks: DataFrame, size: int) -> DataFrame:
             spread = np.cumsum(there) - 1
             value = lambda v: pa.array(v[np.maximum(spread, 0)] if len(v) else np.zeros(len(row), v.dtype), mask=~there)  # noqa: B023, E731
             index = np.asarray(batch.column(2)).astype(np.int64)[row] // size + place
-            columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((end - begin)[row], mask=place > 0), pa.array(index, mask=~there), value(power), value(crossings)]
-            yield pa.RecordBatch.from_arrays(columns, names=["call_id", "sample_rate", "n", "frame_idx", "power", "crossings"])
+            even, low, turns = np.zeros(len(whole), np.int64), np.zeros(len(whole)), np.zeros(len(whole), np.int64)
+            for i in np.flatnonzero((whole == 0) & (end - begin >= 2)):
+                part = x[begin[i] : begin[i] + (end[i] - begin[i]) // 2 * 2]
+                even[i], low[i], turns[i] = len(part), np.mean(part.astype(np.float64) ** 2), np.count_nonzero(np.diff(np.signbit(part)))
+            short = lambda v: pa.array(v[row], mask=even[row] == 0)  # noqa: B023, E731
+            columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((end - begin)[row], mask=place > 0), pa.array(index, mask=~there), value(power), value(crossings), short(even), short(low), short(turns)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kind = dict(blocks.dtypes)["call_id"]
-    return blocks.select("call_id", F.col("sample_rate").cast("int"), F.col("start_sample").cast("long"), "samples").mapInArrow(measure, f"call_id {kind}, sample_rate int, n long, frame_idx long, power double, crossings long")
+    rows, kind = _blocks_for(blocks)
+    return rows.mapInArrow(measure, f"call_id {kind}, sample_rate int, n long, frame_idx long, power double, crossings long, short_size long, short_power double, short_crossings long")
+
+
+def _runs_of(flag: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of set flags; a run ends where the owner changes."""
+    if not len(flag):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    other = np.append(True, owner[1:] != owner[:-1])
+    start = np.flatnonzero(flag & np.append(True, ~flag[:-1] | other[1:]))
+    end = np.flatnonzero(flag & np.append(~flag[1:] | other[1:], True)) + 1
+    return start, end - start
+
+
+def _pieces(batch: pa.RecordBatch, totals: list[pa.Array], row: np.ndarray, start: np.ndarray, length: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """A row of totals for each block, then a row for each run."""
+    n, k = batch.num_rows, len(row)
+    where = pa.array(np.append(np.arange(n), row))
+    first = np.append(np.zeros(n, bool), np.ones(k, bool))
+    filled = lambda v: pa.array(np.append(np.zeros(n, np.int64), v), mask=~first)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), *[pa.concat_arrays([t, pa.nulls(k, t.type)]) for t in totals], filled(start), filled(length)], names=["call_id", "sample_rate", *names, "start", "length"])
 
 
-def pinned(blocks: DataFrame, full_scale: float) -> DataFrame:
-    """Samples at full scale: call_id, sample_rate, n and peak (on one row of each block), idx (null on a row without such a sample)."""
+def quiet_runs(blocks: DataFrame, size: int, below: float) -> DataFrame:
+    """Runs of frames whose RMS is below a limit, one pass: call_id, sample_rate, start, length (in frames) of each run within a block, and a row for each block with n samples, frames, quiet ones, the first and the last that is not. `joined_runs` puts runs together that go on in the next block."""
+    names = ["n", "frames", "quiet", "first_loud", "last_loud"]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, begin, end, whole, power, _ = _framed(batch, size)
+            owner = np.repeat(np.arange(len(whole)), whole)
+            index = np.asarray(batch.column(2)).astype(np.int64)[owner] // size + _ranges(np.zeros(len(whole), np.int64), whole)
+            quiet = np.sqrt(power) < below
+            loud = np.flatnonzero(~quiet)
+            some = np.isin(np.arange(len(whole)), owner[loud])
+            low, high = np.zeros(len(whole), np.int64), np.zeros(len(whole), np.int64)
+            low[owner[loud][::-1]], high[owner[loud]] = index[loud][::-1], index[loud]
+            start, length = _runs_of(quiet, owner)
+            totals = [pa.array(end - begin), pa.array(whole), pa.array(np.bincount(owner[quiet], minlength=len(whole)).astype(np.int64)), pa.array(low, mask=~some), pa.array(high, mask=~some)]
+            yield _pieces(batch, totals, owner[start], index[start], length, names)
+
+    rows, kind = _blocks_for(blocks)
+    return rows.mapInArrow(measure, f"call_id {kind}, sample_rate int, " + ", ".join(f"{c} long" for c in [*names, "start", "length"]))
+
+
+def pinned_runs(blocks: DataFrame, full_scale: float) -> DataFrame:
+    """Runs of samples at full scale, one pass: call_id, sample_rate, start, length (in samples) of each run within a block, and a row for each block with its n samples and peak."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,16 +179,23 @@ def pinned(blocks: DataFrame, full_scale: float) -> DataFrame:
             size = np.abs(x)
             top = np.array([size[a:b].max(initial=0.0) for a, b in zip(begin, end, strict=True)], np.float64)
             at = np.flatnonzero(size.astype(np.float64) >= full_scale)
-            row = np.searchsorted(begin, at, "right") - 1
-            at, row = at[at < end[row]], row[at < end[row]]
-            where = np.append(np.arange(len(begin)), row)
-            index = np.asarray(batch.column(2)).astype(np.int64)[row] + at - begin[row]
-            first = np.arange(len(where)) < len(begin)
-            columns = [batch.column(0).take(pa.array(where)), batch.column(1).take(pa.array(where)), pa.array((end - begin)[where], mask=~first), pa.array(top[where], mask=~first), pa.array(np.append(np.zeros(len(begin), np.int64), index), mask=first)]
-            yield pa.RecordBatch.from_arrays(columns, names=["call_id", "sample_rate", "n", "peak", "idx"])
-
-    kind = dict(blocks.dtypes)["call_id"]
-    return blocks.select("call_id", F.col("sample_rate").cast("int"), F.col("start_sample").cast("long"), "samples").mapInArrow(measure, f"call_id {kind}, sample_rate int, n long, peak double, idx long")
+            owner = np.searchsorted(begin, at, "right") - 1
+            at, owner = at[at < end[owner]], owner[at < end[owner]]
+            index = np.asarray(batch.column(2)).astype(np.int64)[owner] + at - begin[owner]
+            new = np.append(True, (index[1:] != index[:-1] + 1) | (owner[1:] != owner[:-1])) if len(at) else np.zeros(0, bool)
+            start = np.flatnonzero(new)
+            yield _pieces(batch, [pa.array(end - begin), pa.array(top)], owner[start], index[start], np.diff(np.append(start, len(at))), ["n", "peak"])
+
+    rows, kind = _blocks_for(blocks)
+    return rows.mapInArrow(measure, f"call_id {kind}, sample_rate int, n long, peak double, start long, length long")
+
+
+def joined_runs(pieces: DataFrame) -> DataFrame:
+    """The rows with `run`, the number of the call's run that each piece belongs to: pieces that touch are one run. Rows without a piece have run 0. Only pieces are sorted, never frames or samples."""
+    w = Window.partitionBy("call_id").orderBy("start")
+    before = F.max(F.col("start") + F.col("length")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("start").isNotNull(), (F.coalesce(before, F.lit(-1)) != F.col("start")).cast("int")).otherwise(0)
+    return pieces.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
 def with_after(blocks: DataFrame, most: int) -> DataFrame:

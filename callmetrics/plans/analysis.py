@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analyzers as A
-from ..operators.signals import frames, power
+from ..operators.signals import measured
 from . import adapters as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,7 @@ def _on(source: Query, analyze: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _frame_powers(blocks: DataFrame) -> DataFrame:
-    return frames(blocks, 4).select("call_id", "frame_idx", power().alias("power"))
+    return measured(blocks, 4).filter("frame_idx IS NOT NULL").select("call_id", "frame_idx", "power")
 
 
 QUERIES: dict[str, Query] = {}

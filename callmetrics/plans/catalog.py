@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis, fleet, operations, recordings
+from . import analysis, fleet, operations, recordings, tables
 
-QUERIES = analysis.QUERIES | operations.QUERIES | fleet.QUERIES | recordings.QUERIES
-SQL = analysis.SQL | operations.SQL | fleet.SQL | recordings.SQL
+_PARTS = (analysis, operations, fleet, recordings, tables)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

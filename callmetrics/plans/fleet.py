@@ -196,7 +196,7 @@ SELECT refs.call_id, true AS hydrated, (SELECT count(DISTINCT function_id) FROM
 FROM refs WHERE refs.call_id IN {_TRACED}
 """)
 def traced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A look-up of four calls: the filter reaches each scan."""
+    """A look-up of four calls; the tables are not laid out by call, so all of their key columns are read (`looked_up_calls` is one that is)."""
     calls = ["1", "2", "3", "7"]
     t = T.trace_of(calls, D.references(spark, sf_dir), D.results(spark, sf_dir), D.dead_letters(spark, sf_dir), D.declared(spark), D.ORDER)
     n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")

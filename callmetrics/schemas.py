@@ -14,7 +14,8 @@ DEAD_LETTERS = (
 EVENTS = "event_name STRING, at TIMESTAMP, call_id STRING, function_id STRING, function_version STRING, attrs MAP<STRING, STRING>"
 DECLARATIONS = (
     "function_id STRING, function_version STRING, image STRING, input_topic STRING, results_topic STRING, results_topic_partitions INT, dlq_topic STRING, "
-    "in_flight INT, per_file_timeout_seconds DOUBLE, retry_budget INT, retry_backoff_seconds DOUBLE, retry_backoff_max_seconds DOUBLE, payload_schema STRING"
+    "in_flight INT, per_file_timeout_seconds DOUBLE, retry_budget INT, retry_backoff_seconds DOUBLE, retry_backoff_max_seconds DOUBLE, payload_schema STRING, "
+    "resources STRUCT<cpu: DOUBLE, memory: STRING, gpu: INT>"
 )
 MESSAGES = "topic STRING, partition INT, offset BIGINT, key BINARY, value BINARY, timestamp TIMESTAMP, headers MAP<STRING, BINARY>"
 BLOCKS = "call_id STRING, sample_rate INT, start_sample BIGINT, samples ARRAY<FLOAT>, after ARRAY<FLOAT>"

@@ -13,8 +13,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions import backoff_seconds
 from ..operators.accounting import rates
-from ..operators.delivery import KEY, claim_checked, dead_letter_rows, failed_results, latest, routed, with_keys
+from ..operators.delivery import KEY, claim_checked, dead_letter_rows, failed_results, latest, poisoned, routed, timed_out, with_keys
 from ..operators.fleet import terminal_events
+from ..sources.events import read_references
 from ..sources.records import canonical_gate, decoded, fetched, hydrated, streaminfo
 
 
@@ -40,16 +41,21 @@ def overwrite_latest(batch: DataFrame, batch_id: int, path: str, key: list[str],
 
 
 Decoder = Callable[[DataFrame], DataFrame]
+#: Ids of a micro-batch that are broadcast at most; more are joined by a shuffle.
+BATCH_IDS = 200_000
 
 
 def hydration(messages: DataFrame, recordings: DataFrame, out: str, checkpoint: str, *, decode: Decoder = decoded) -> DataStreamWriter:
-    """Ingest of call records: recordings are stored before the references that point to them, failures go to the hydrator's dead letters.
+    """Ingest of call records: recordings are stored before the references that point to them, failures go to the hydrator's dead letters, and what was published or dropped, by reason, is counted.
 
     `decode` gives messages call_id, audio_id, ingested_at and error_code.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        records = fetched(decode(batch), recordings)
+        asked = decode(batch).persist()
+        # The batch's ids go to the recordings, which are many, before any content is read with them.
+        ids = asked.filter("audio_id IS NOT NULL").select("audio_id").distinct()
+        records = fetched(asked, recordings.join(F.broadcast(ids) if ids.count() <= BATCH_IDS else ids, "audio_id", "left_semi")).persist()
         bad = F.col("error_code").isNotNull()
         checked = records.filter(~bad).drop("error_code").withColumns(streaminfo())
         checked = canonical_gate(checked).persist()
@@ -59,8 +65,11 @@ def hydration(messages: DataFrame, recordings: DataFrame, out: str, checkpoint:
             land(hydrated(good), f"{out}/references", batch_id)
             lost = records.filter(bad).select("raw", "call_id", "error_code").unionByName(checked.filter("error_code IS NOT NULL").select("raw", "call_id", "error_code"))
             land(lost, f"{out}/hydration_failures", batch_id)
+            counted = good.select(F.lit("published").alias("reason")).unionByName(lost.select(F.col("error_code").alias("reason")))
+            land(counted.groupBy("reason").agg(F.count("*").alias("n")), f"{out}/hydration_counts", batch_id)
         finally:
-            checked.unpersist()
+            for frame in (checked, records, asked):
+                frame.unpersist()
 
     return messages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
 
@@ -83,23 +92,48 @@ def analysis(outcomes: DataFrame, out: str, checkpoint: str, function: str, vers
     return outcomes.writeStream.foreachBatch(route).option("checkpointLocation", f"{checkpoint}/{function}/{version}")
 
 
-def _route(batch: DataFrame, batch_id: int, out: str, at: str, given: DataFrame | None = None) -> None:
-    """Writes outcomes where they belong. With `given`, the references of the batch (call_id, attempt, reference as JSON), retries carry theirs."""
+def _route(batch: DataFrame, batch_id: int, out: str, at: str, given: DataFrame | None = None, poison: DataFrame | None = None) -> None:
+    """Writes outcomes where they belong; those with a limit of time are held to it. With `given`, the references of the batch (call_id, attempt, reference as JSON), retries carry theirs. `poison`: failures of messages that cannot be read."""
+    if {"per_file_timeout_seconds", "started_at", "completed_at"} <= set(batch.columns):
+        batch = timed_out(batch)
     done = claim_checked(batch.filter("status <> 'FAILED'"))
     land(done.filter("large_payload IS NOT NULL").select("payload_ref", "large_payload"), f"{out}/large_payloads/of={at}", batch_id)
     failures = routed(batch.filter("status = 'FAILED'").withColumn("retryable", F.col("error.retryable")))
     dead = failures.filter("route = 'DLQ'")
     columns = [*KEY, "status", "error", "input_object_key", "attempt"]
-    lasting = failed_results(dead).select(*columns)
-    results = done.select(*columns, "payload", "payload_ref").unionByName(lasting, allowMissingColumns=True).withColumn("envelope_version", F.lit(1))
+    lasting, letters = failed_results(dead).select(*columns), dead_letter_rows(dead)
+    if poison is not None:
+        lasting, letters = lasting.unionByName(failed_results(poison).select(*columns)), letters.unionByName(dead_letter_rows(poison))
+    results = done.select(*columns, "payload", "payload_ref", *(["depth"] if "depth" in done.columns else [])).unionByName(lasting, allowMissingColumns=True).withColumn("envelope_version", F.lit(1))
     land(with_keys(results), f"{out}/results/of={at}", batch_id)
-    land(dead_letter_rows(dead), f"{out}/dead_letters/of={at}", batch_id, "function_id")
+    land(letters, f"{out}/dead_letters/of={at}", batch_id, "function_id")
     waiting = retry_rows(failures.filter("route = 'RETRY'"))
     if given is not None:
         waiting = waiting.join(given.withColumn("attempt", F.col("attempt") + 1).dropDuplicates(["call_id", "attempt"]), ["call_id", "attempt"])
     land(waiting, f"{out}/retry_queue/of={at}", batch_id)
 
 
+def message_analysis(messages: DataFrame, analyze: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, function: str, version: str) -> DataStreamWriter:
+    """Analysis of messages as they come from a topic (the columns of `schemas.MESSAGES`): references to `analyze`, and what is none to dead letters and, where the key names a call, to a FAILED result.
+
+    `analyze` takes the messages with the columns of their reference, and gives outcomes as `analysis` takes them.
+    """
+    at = f"{function}-{version}"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        read = read_references(batch).persist()
+        bad = F.col("error_code").isNotNull()
+        poison = poisoned(read.filter(bad).select(*batch.columns), function, version, F.lit("the message holds no reference"))
+        outcomes = analyze(read.filter(~bad).drop("error_code")).persist()
+        try:
+            _route(outcomes, batch_id, out, at, poison=poison)
+        finally:
+            outcomes.unpersist()
+            read.unpersist()
+
+    return messages.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/{function}/{version}")
+
+
 class _Retries(StatefulProcessor):
     """Per call the retries that are not due yet, each with a timer of its own; what has fired is remembered for a while, so that a batch that is run again wakes nobody twice."""
 
