@@ -9,25 +9,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from . import analysis, chain_depth
+from . import analysis
 
 #: What a function downstream reads of a result.
 RESULT = "call_id string, function_id string, function_version string, status string, input_object_key string, payload string, payload_ref string, depth int"
 Analyze = Callable[[DataFrame], DataFrame]
 
 
-def checked_edges(declared: DataFrame, most: int = 5) -> DataFrame:
-    """Depth of each function of a registry (function_id, upstream: null for those that read references). A cycle, an upstream that nobody declares, or more than `most` levels is an error."""
-    known = declared.select("function_id")
-    unknown = [r["upstream"] for r in declared.filter("upstream IS NOT NULL").join(known.withColumnRenamed("function_id", "upstream"), "upstream", "left_anti").select("upstream").distinct().collect()]
+def checked_depths(declared: DataFrame, most: int = 5) -> dict[str, int]:
+    """Depth of each function of a registry (function_id, upstream: null for those that read references), 1 for these. A cycle, an upstream that nobody declares, or more than `most` levels is an error.
+
+    A registry is configuration, a row a function, and read on the driver; `chain_depth` does the same for a table of edges.
+    """
+    upstream = {r["function_id"]: r["upstream"] for r in declared.select("function_id", "upstream").collect()}
+    unknown = sorted({u for u in upstream.values() if u is not None} - set(upstream))
     if unknown:
-        raise ValueError(f"no function is declared as {sorted(unknown)}")
-    edges = declared.filter("upstream IS NOT NULL").select("upstream", F.col("function_id").alias("downstream"))
-    depth = chain_depth(edges, most)
-    wrong = [r["function_id"] for r in depth.filter("NOT allowed").collect()]  # functions are configuration
+        raise ValueError(f"no function is declared as {unknown}")
+    depth: dict[str, int] = {}
+    for level in range(1, most + 1):
+        depth |= {f: level for f, u in upstream.items() if f not in depth and (u is None or depth.get(u) == level - 1)}
+    wrong = sorted(set(upstream) - set(depth))
     if wrong:
-        raise ValueError(f"functions on or behind a cycle, or too deep: {sorted(wrong)}")
-    return known.join(depth, "function_id", "left").select("function_id", F.coalesce("depth", F.lit(1)).alias("depth"))
+        raise ValueError(f"functions on or behind a cycle, or too deep: {wrong}")
+    return depth
 
 
 def _stream_of(spark: SparkSession, path: str, schema: str, per_batch: int) -> DataFrame:
@@ -44,7 +48,7 @@ def registry_streams(declared: DataFrame, analyzers: dict[str, Analyze], referen
     `payload`. `depth` counts the functions that a row has passed, its own included; a row at `most` goes no further. Every stream has its
     own checkpoint, so a function can be added, replayed or stopped alone.
     """
-    spark, depth = declared.sparkSession, {r["function_id"]: r["depth"] for r in checked_edges(declared, most).collect()}
+    spark, depth = declared.sparkSession, checked_depths(declared, most)
     rows = {r["function_id"]: r for r in declared.collect()}
     lacking = sorted(set(rows) - set(analyzers))
     if lacking:
