@@ -82,6 +82,15 @@ class Slice:
             of_planes(raw["number"]), words, np.append(0, end[:-1])[: len(end)], end,
         )
 
+    @staticmethod
+    def of_texts(column: pa.Array, flag: int) -> Slice:
+        """A slice of texts that are in no table: without ids, all with one flag."""
+        t, n = K.texts(column).lowered(), len(column)
+        w = K.words(t)
+        _, at, number = K.distinct(K.span_hash(t.data, w.start, w.end))
+        words, end = K.gather(t.data, w.start[at], w.end[at])
+        return Slice(0, np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, flag, np.uint8), w.first.astype(np.int64), number, np.append(words, np.zeros(8, np.uint8)), np.append(0, end[:-1])[: len(end)], end)
+
     @property
     def doc(self) -> np.ndarray:
         """Row of the document of each word."""
