@@ -7,12 +7,13 @@ A file holds ids in the minimum number of bits for its vocabulary, in blocks of
 Document starts count ids within the file; block offsets count bytes. Any range of ids is read by way of its
 blocks alone, and a block is unpacked by one vectorised shift and mask.
 
-Documents are range-partitioned and sorted by id, so the files, in order of their names, hold all documents in
-ascending order of doc_id. A partition streams to files of at most `file_bytes`; a file appears under its name only
+Documents are range-partitioned and sorted by id, and by a hash of the text where ids are equal, so the files, in order
+of their names, hold all documents in ascending order of doc_id, and an id or a row that is a third of all fills many of
+them. A partition streams to files of at most `file_bytes`; a file appears under its name only
 when it is complete, so a task that is run again replaces it by equal content.
 
-Null texts count as empty; a null doc_id sorts first; repeated doc_ids stand side by side, ordered by text. An empty
-table gives no files. Only the two named columns are read, so other columns cannot clash.
+Null texts count as empty; a null doc_id sorts first; repeated doc_ids stand side by side, null texts first, then by a
+hash of the text. An empty table gives no files. Only the two named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ class Reader:
 def write(docs: DataFrame, path: str, vocabulary_file: str, vocabulary: int, end: int, *, id_column: str = "doc_id", text_column: str = "text", shards: int | None = None, file_bytes: int = 32 << 20) -> DataFrame:
     """Encodes all texts and writes their ids below `path`; returns the manifest, one row for each file.
 
-    `shards` range partitions by doc_id are written, as many as spark.sql.shuffle.partitions unless given.
+    `shards` range partitions by doc_id and text are written, as many as spark.sql.shuffle.partitions unless given.
     """
     spark = docs.sparkSession
     bits = bits_for(vocabulary)
@@ -172,7 +173,9 @@ def write(docs: DataFrame, path: str, vocabulary_file: str, vocabulary: int, end
         types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "part", "path", "n_docs", "n_ids", "n_bytes"])
 
-    ordered = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.col(text_column)
+    named = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), F.when(text.isNotNull(), F.xxhash64(text)).alias("name"), F.monotonically_increasing_id().alias("row"))
+    ordered = named.repartitionByRange(shards, "doc_id", "name", "row").sortWithinPartitions("doc_id", "name", "text")  # equal rows may be in any order
     rows = ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(encode, MANIFEST)
     return written(rows, "token-manifest")
 

@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from callmetrics.llm import packing, sharding, token_counts, token_files
@@ -260,3 +261,13 @@ def test_best_segmentation_is_best():
         data = np.append(np.frombuffer(text, np.uint8), np.zeros(8, np.uint8))
         n, score = token_counts.trie_counts(data, np.array([0]), np.array([len(text)]), pieces)
         assert score[0] == pytest.approx(max(all_ways(word))) and (n[0], pytest.approx(score[0])) == token_counts.segment(word, pieces)
+
+
+def test_an_id_of_many_rows_fills_many_files(spark, tmp_path):
+    """One id with different texts, and one row over and over: every partition has its part, in order."""
+    rows = [(7, f"text number {i}") for i in range(900)] + [(3, "the same")] * 900
+    manifest = token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), f"file://{tmp_path}/t", BYTE, 50_257, 0, shards=8)
+    sizes = [r["n"] for r in manifest.groupBy("shard").agg(F.sum("n_docs").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 500
+    got = sorted((r["start"], r["doc_id"], r["ids_crc32"]) for r in token_files.read(manifest).collect())
+    assert [d for _, d, _ in got] == [3] * 900 + [7] * 900 and len({c for _, d, c in got if d == 7}) == 900 and len({c for _, d, c in got if d == 3}) == 1
