@@ -85,3 +85,18 @@ def explode_payload(df: DataFrame, payload: str = "payload", most: int = 12) ->
     number = F.col("_value").try_cast("double")
     value = F.when(F.col("_value") == "true", "yes").when(F.col("_value") == "false", "no").otherwise(F.col("_value"))
     return out.withColumns({"value": value, "fraction": F.when(number.between(0.0, 1.0), number)}).drop("_fields", "_value")
+
+
+def dashed(name: Column) -> Column:
+    """A function's id as the name of what runs it: underscores become dashes."""
+    return F.replace(name, F.lit("_"), F.lit("-"))
+
+
+def tidy(text: Column) -> Column:
+    """An id as a user typed it, without white space around it; null where nothing is left."""
+    return F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def same_id(a: Column, b: Column) -> Column:
+    """Whether two typed ids name the same, case and white space around them aside."""
+    return F.coalesce(F.lower(tidy(a)) == F.lower(tidy(b)), F.lit(False))

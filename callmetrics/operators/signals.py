@@ -11,9 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
 
 #: Samples in a block: a multiple of the 20 ms frames (320) and of the hops (256) of 16 kHz audio.
 BLOCK = 64_000
@@ -32,29 +33,23 @@ def blocked(signals: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def _bucket(x: Column, bounds: list[float]) -> Column:
-    """How many of the sorted bounds a value reaches, by halving; a null reaches none."""
-    if not bounds:
-        return F.lit(0)
-    half = len(bounds) // 2
-    return F.when(x >= bounds[half], _bucket(x, bounds[half + 1 :]) + (half + 1)).otherwise(_bucket(x, bounds[:half]))
-
-
 def from_rows(rows: DataFrame, order: list[str], block: int = BLOCK, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Blocks of recordings that are given as one row a sample: call_id, sample_rate, value.
 
-    Rows are numbered in buckets of the first column of the order (a time or a number), which hold about `bucket_rows` rows
-    of all calls, after the call's rows in earlier buckets. No array is longer than a block, however long a recording.
+    More than `bucket_rows` rows are written in ranges of the order, of about so many rows of all calls each, and numbered
+    in these, after the call's rows in earlier ranges. No array is longer than a block, and no task numbers more than a range, however long a recording.
     """
-    x, n = F.col(order[0]).cast("double"), -(-rows.count() // bucket_rows)
-    bounds = rows.agg(F.percentile_approx(x, [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 else None
-    key = ["call_id", "sample_rate"]
-    placed = rows.withColumn("_bucket", _bucket(x, sorted(set(bounds or []))))
+    key, n = ["call_id", "sample_rate"], -(-rows.count() // bucket_rows)
+    ranges = rows.select(*dict.fromkeys([*key, *order, "value"])).withColumn("_bucket", F.lit(0))
+    if n > 1:
+        path = shared_folder(rows.sparkSession, "samples")
+        ranges.repartitionByRange(n, *order).withColumn("_bucket", F.spark_partition_id()).write.parquet(path)
+        ranges = rows.sparkSession.read.schema(ranges.schema).parquet(path)
     at = F.row_number().over(Window.partitionBy(*key, "_bucket").orderBy(*order, "value")).cast("long") - 1
-    numbered = placed.withColumn("_at", at)
-    if bounds:
+    numbered = ranges.withColumn("_at", at)
+    if n > 1:
         before = F.sum("_n").over(Window.partitionBy("_call", "_rate").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-        counts = placed.groupBy(F.col("call_id").alias("_call"), F.col("sample_rate").alias("_rate"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+        counts = ranges.groupBy(F.col("call_id").alias("_call"), F.col("sample_rate").alias("_rate"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
         counts = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
         same = F.col("call_id").eqNullSafe(F.col("_call")) & F.col("sample_rate").eqNullSafe(F.col("_rate")) & (F.col("_bucket") == F.col("_b"))
         numbered = numbered.join(counts, same).withColumn("_at", F.col("_at") + F.col("_before"))

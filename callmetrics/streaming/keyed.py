@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.delivery import latest
 
@@ -52,7 +53,7 @@ class KeyedTable:
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], order: list[str], *, by: str = "call_id", buckets: int = 64):
         self.spark, self.path, self.key, self.order, self.by, self.buckets = spark, path.rstrip("/"), key, order, by, buckets
-        self.schema = T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else spark.createDataFrame([], schema).schema
+        self.schema = spark.createDataFrame([], schema).schema
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     # Manifests -------------------------------------------------------------------------------------------------------
@@ -102,18 +103,27 @@ class KeyedTable:
 
     def append(self, batch: DataFrame, batch_id: int | str) -> bool:
         """Adds a batch's last rows by key. A batch that is there already changes nothing, so a stream may run it again."""
-        seen = self.manifest()
-        if str(batch_id) in seen.deltas or self._compacted(str(batch_id)):
-            return False
-        folder = self._write(latest(batch.select(*self.schema.names), self.key, self.order), f"delta-{uuid.uuid4().hex}")
-        self._commit(seen, seen.base, seen.deltas | {str(batch_id): folder})
-        return True
+        seen, folder = self.manifest(), None
+        while str(batch_id) not in seen.deltas and not self._compacted(str(batch_id)):
+            folder = folder or self._write(latest(batch.select(*self.schema.names), self.key, self.order), f"delta-{uuid.uuid4().hex}")
+            try:
+                self._commit(seen, seen.base, seen.deltas | {str(batch_id): folder})
+                return True
+            except CommitConflict:  # a compaction, say: what was written goes on top of it
+                newer = self.manifest()
+                if newer.version == seen.version:
+                    raise
+                seen = newer
+        return False
 
     def _compacted(self, batch_id: str) -> bool:
         return self._fs.exists(self._path(f"batches/{batch_id}"))
 
-    def compact(self, erasures: DataFrame | None = None) -> Manifest:
-        """Merges the deltas into the buckets that they touch, and leaves out rows whose `by` is erased, from the buckets that hold such rows. Other buckets' files stay."""
+    def compact(self, erasures: DataFrame | None = None, keep: Column | None = None) -> Manifest:
+        """Merges the deltas into the buckets that they touch, and leaves out rows whose `by` is erased, from the buckets that hold such rows. Other buckets' files stay.
+
+        With `keep`, a condition, rows that do not meet it expire, from all buckets.
+        """
         seen = self.manifest()
         touched = self._buckets_of(seen)
         gone = None
@@ -121,9 +131,13 @@ class KeyedTable:
             gone = erasures.select(self.by).filter(F.col(self.by).isNotNull()).distinct()
             held = {r[0] for r in gone.select(self.bucket().alias("b")).distinct().collect()}  # as many as buckets at most
             touched |= held & (set(seen.base) | touched)
+        if keep is not None:
+            touched |= set(seen.base)
         if not touched:
             return seen
         rows = self._rows(seen, touched)
+        if keep is not None:
+            rows = rows.filter(F.coalesce(keep, F.lit(False)))
         if gone is not None:
             rows = rows.join(gone, self.by, "left_anti")
         folder = self._write(rows, f"base-{uuid.uuid4().hex}")
@@ -162,6 +176,16 @@ class KeyedTable:
             self._fs.delete(self._path(f"manifests/{v:020d}.json"), False)
         return gone
 
+    def sink(self, stream: DataFrame, checkpoint: str, compact_every: int = 50) -> DataStreamWriter:
+        """A stream's rows to the table, batch by batch, compacted every so many batches: readers never find more deltas than that."""
+
+        def step(batch: DataFrame, batch_id: int) -> None:
+            self.append(batch, batch_id)
+            if len(self.manifest().deltas) >= compact_every:
+                self.compact()
+
+        return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
     # Reading ---------------------------------------------------------------------------------------------------------
 
     def _rows(self, m: Manifest, only: set[int] | None = None) -> DataFrame:

@@ -143,3 +143,48 @@ def test_lookups_open_one_bucket(spark, tmp_path):
     assert contents(t.lookup(["c7"])) == [("c7", "f", 1)] and files(t.lookup(["c7"])) == 1 and files(t.read()) == 16
     t.append(rows(spark, ("c7", "f", 2), ("c8", "f", 2)), 1)
     assert contents(t.lookup(["c7", "none"])) == [("c7", "f", 2)]
+
+
+def test_an_append_goes_on_top_of_a_compaction(spark, tmp_path, monkeypatch):
+    """The compaction is committed while the delta is written; both count."""
+    t = table(spark, tmp_path)
+    t.append(rows(spark, ("a", "f", 1), ("b", "f", 1)), 0)
+    write, other = KeyedTable._write, table(spark, tmp_path)
+
+    def slow(self, *args):
+        made = write(self, *args)
+        if self is t:
+            other.compact()
+        return made
+
+    monkeypatch.setattr(KeyedTable, "_write", slow)
+    assert t.append(rows(spark, ("a", "f", 2)), 1)
+    assert contents(t.read()) == [("a", "f", 2), ("b", "f", 1)] and list(t.manifest().deltas) == ["1"]
+
+
+def test_a_stream_fills_a_table(spark, tmp_path):
+    from callmetrics.streaming import run_available
+
+    for i in range(5):
+        rows(spark, *[(f"c{j}", "f", i) for j in range(i, i + 3)]).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    t = table(spark, tmp_path)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    run_available(t.sink(stream, f"{tmp_path}/cp", compact_every=2))
+    assert contents(t.read()) == [(f"c{j}", "f", min(j, 4)) for j in range(7)] and len(t.manifest().deltas) < 2
+
+
+def test_objects_expire_and_are_fetched_from_the_archive(spark, tmp_path):
+    """Objects live for a day; a later reference falls back to where they came from."""
+    from datetime import datetime, timedelta
+
+    from callmetrics.sources.records import with_fallback
+
+    now = datetime(2026, 1, 3)
+    objects = KeyedTable(spark, f"file://{tmp_path}/o", "object_key string, content binary, at timestamp", ["object_key"], ["at"], by="object_key", buckets=4)
+    given = [(f"c{i}.flac", bytes([i]), now - timedelta(hours=10 * i)) for i in range(6)]
+    objects.append(spark.createDataFrame(given, "object_key string, content binary, at timestamp"), 0)
+    objects.compact(keep=F.col("at") >= F.lit(now) - F.expr("INTERVAL 24 HOURS"))
+    assert sorted(r["object_key"] for r in objects.read().collect()) == ["c0.flac", "c1.flac", "c2.flac"]
+    archive = spark.createDataFrame([("c3.flac", b"old"), ("c4.flac", b"old")], "object_key string, content binary")
+    found = with_fallback(spark.createDataFrame([(k,) for k in ("c1.flac", "c3.flac", "c5.flac")], "object_key string"), objects.read(), archive)
+    assert {r["object_key"]: (r["content"] and bytes(r["content"]), r["error_code"]) for r in found.collect()} == {"c1.flac": (b"\x01", None), "c3.flac": (b"old", None), "c5.flac": (None, "OBJECT_MISSING")}
