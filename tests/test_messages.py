@@ -76,3 +76,19 @@ def test_a_limit_is_judged_by_the_time_taken(spark):
     rows = [("in", "SUCCESS", None, NOW, NOW + timedelta(seconds=5), 5.0), ("over", "SUCCESS", None, NOW, NOW + timedelta(seconds=6), 5.0), ("open", "SUCCESS", None, NOW, None, 5.0), ("free", "FAILED", ("X", "m", False), NOW, NOW + timedelta(days=1), None)]
     got = {r["call_id"]: (r["status"], r["error"] and r["error"]["code"]) for r in timed_out(spark.createDataFrame(rows, schema)).collect()}
     assert got == {"in": ("SUCCESS", None), "over": ("FAILED", "TIMEOUT"), "open": ("SUCCESS", None), "free": ("FAILED", "X")}
+
+
+def test_a_decoder_of_ones_own_and_what_was_dropped(spark, tmp_path):
+    """Other producers name their fields otherwise; what was published and dropped is counted by reason."""
+    from callmetrics.sources.records import decoded
+
+    from .test_delivery import flac
+
+    rows = [(b'{"id":"c1","rec":"a1"}',), (b'{"id":"c2","rec":"gone"}',), (b'{"id":"c3","rec":"a2"}',), (b'{"call_id":"c4","audio_id":"a1"}',), (b"junk",)]
+    spark.createDataFrame(rows, "raw binary").write.parquet(f"{tmp_path}/in")
+    recordings = spark.createDataFrame([("a1", flac()), ("a2", flac(44100)), ("never", flac())], "audio_id string, content binary")
+    stream = S.file_messages(spark, f"{tmp_path}/in", "raw binary")
+    S.run_available(S.hydration(stream, recordings, f"{tmp_path}/out", f"{tmp_path}/cp", decode=lambda df: decoded(df, call="id", audio="rec")))
+    assert [r["call_id"] for r in spark.read.parquet(f"{tmp_path}/out/references").collect()] == ["c1"]
+    counts = {r["reason"]: r["n"] for r in spark.read.parquet(f"{tmp_path}/out/hydration_counts").collect()}
+    assert counts == {"published": 1, "AUDIO_NOT_FOUND": 1, "AUDIO_NOT_CANONICAL": 1, "DECODE_ERROR": 2}
