@@ -22,7 +22,7 @@ def wav_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings through files and back: of each block of 700 samples their number and, in 16 bits, their sum, and that of the samples after it. Ranges end anywhere in a block."""
     folder = shared_folder(spark, "wav")
     write_wav(_recordings(spark, sf_dir), folder).write.format("noop").mode("overwrite").save()
-    blocks = wav_files(spark, folder, block=700, split_bytes=1777)
+    blocks = wav_files(spark, folder, block=700, split_bytes=1777, task_bytes=256 << 10)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.floor(x.cast("double") * 32768).cast("long"))
     return blocks.filter("error_code IS NULL").select("call_id", "start_sample", F.size("samples").cast("long").alias("n"), total("samples").alias("total"), total("after").alias("after"))
 

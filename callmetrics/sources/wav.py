@@ -133,6 +133,7 @@ class _Reader(DataSourceReader):
         self.base = options["path"]
         self.block = int(options.get("block", BLOCK))
         self.split = int(options.get("splitbytes", SPLIT_BYTES))
+        self.task = int(options.get("taskbytes", self.split))
         self.calls: set[str] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -157,7 +158,7 @@ class _Reader(DataSourceReader):
                 continue
             for lo in range(0, max(1, i.size), self.split):
                 hi = min(lo + self.split, max(1, i.size))
-                if some and held + hi - lo > self.split:
+                if some and held + hi - lo > self.task:
                     out.append(Ranges(some))
                     some, held = [], 0
                 some.append((i.path, i.size, lo, hi))
@@ -174,7 +175,7 @@ class _Reader(DataSourceReader):
 
 
 class WavSource(DataSource):
-    """Options: path (a URI), block (samples), splitBytes."""
+    """Options: path (a URI), block (samples), splitBytes (of a range), taskBytes (of the ranges that a task reads, splitBytes unless given)."""
 
     @classmethod
     def name(cls) -> str:
@@ -193,10 +194,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WavSource)
 
 
-def wav_files(spark: SparkSession, folder: str, *, block: int = BLOCK, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def wav_files(spark: SparkSession, folder: str, *, block: int = BLOCK, split_bytes: int = SPLIT_BYTES, task_bytes: int | None = None) -> DataFrame:
     """Blocks of the recordings of a folder, for the analyzers; rows with an error_code have no samples."""
     register(spark)
-    return spark.read.format("wav").option("block", block).option("splitBytes", split_bytes).load(folder)
+    return spark.read.format("wav").option("block", block).option("splitBytes", split_bytes).option("taskBytes", task_bytes or split_bytes).load(folder)
 
 
 def against(blocks: DataFrame, references: DataFrame) -> DataFrame:
