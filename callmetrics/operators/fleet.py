@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seconds_between, split_group
 from ..schemas import HYDRATOR
-from ..shared import shared_folder
+from ..shared import kept
 from .accounting import function_tally, group_lag, lag_seconds, unaccounted
 from .delivery import answered, call_trace, valid_result
 
@@ -159,15 +159,8 @@ def ranges_at(rows: DataFrame, key: list[str], wanted: Column, bound: int) -> Da
     A range that holds more is cut at `CUTS` approximate quantiles and at values that equal one, and the parts that hold a
     place are kept, so each round leaves about a 64th, however the values lie. A row a key and place is written each round.
     """
-    spark = rows.sparkSession
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = shared_folder(spark, "ranges")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     whole = rows.groupBy(*key).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.lit(0).cast("long").alias("_before"), F.count("*").alias("_n"))
-    ranges = kept(whole.withColumns({"_total": F.col("_n"), "_w": wanted}))
+    ranges = kept(whole.withColumns({"_total": F.col("_n"), "_w": wanted}), "ranges")
     large = (F.col("_n") > bound) & (F.col("_low") < F.col("_high"))
     while not (big := ranges.filter(large)).isEmpty():
         ids = [*key, "_low", "_high"]
@@ -176,7 +169,7 @@ def ranges_at(rows: DataFrame, key: list[str], wanted: Column, bound: int) -> Da
         named = cuts.select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(ids)], F.array_distinct("_cuts").alias("_cuts"))
         for i, c in enumerate(ids):
             same = same & F.col(c).eqNullSafe(F.col(f"_of{i}"))
-        cut = kept(big.join(named, same).select(*big.columns, "_cuts"))
+        cut = kept(big.join(named, same).select(*big.columns, "_cuts"), "cuts")
         # Even parts lie between cuts, odd ones are a cut's own value.
         part = 2 * F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) + F.array_contains("_cuts", F.col("_v")).cast("int")
         group = [*key, "_before", "_total", "_w"]
@@ -184,13 +177,13 @@ def ranges_at(rows: DataFrame, key: list[str], wanted: Column, bound: int) -> Da
         below = F.coalesce(F.sum("_n").over(Window.partitionBy(*key, "_before").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         parts = parts.withColumn("_before", F.col("_before") + below)
         parts = parts.withColumn("_w", F.filter("_w", lambda w: (w["at"] >= F.col("_before")) & (w["at"] < F.col("_before") + F.col("_n")))).filter("size(_w) > 0")
-        ranges = kept(ranges.filter(~large).unionByName(parts.select(*ranges.columns)))
+        ranges = kept(ranges.filter(~large).unionByName(parts.select(*ranges.columns)), "ranges")
     return ranges
 
 
 def _values_at(df: DataFrame, key: list[str], value: str, places: dict[str, Callable[[Column], Column]], bound: int | None) -> DataFrame:
     bound = bound or SORTED_AT_ONCE
-    rows = _numbers(df, key, value)
+    rows = kept(_numbers(df, key, value), "values")
     wanted = lambda total: F.array(*[F.struct(F.lit(name).alias("name"), place(total).cast("long").alias("at")) for name, place in places.items()])
     largest = rows.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
     if largest <= bound:
@@ -214,6 +207,7 @@ def values_at(df: DataFrame, key: list[str], value: str, places: dict[str, Calla
 
     Keys of at most `bound` values (`SORTED_AT_ONCE`) are sorted. If one has more, values are narrowed down to ranges that hold a
     place and at most `bound` values first (`ranges_at`), so no task sorts more. Nulls and NaN do not count.
+    Each step reads the values once, so they are written first: what made them, a join, say, runs once.
     """
     return _values_at(df, key, value, places, bound).drop("_total")
 
@@ -237,8 +231,11 @@ def quantiles(df: DataFrame, key: list[str], value: str, shares: list[float], *,
 
 
 def multiples(results: DataFrame, audio: DataFrame) -> DataFrame:
-    """Each result with its realtime multiple: audio seconds over processing seconds, null where either is not positive."""
-    df = results.join(audio.select("call_id", "duration_seconds"), "call_id")
+    """Each result with its realtime multiple: audio seconds over processing seconds, null where either is not positive.
+
+    Sides are merged at every size: audio that is just small enough to be broadcast is no smaller for each executor.
+    """
+    df = results.join(audio.select("call_id", "duration_seconds").hint("merge"), "call_id")
     took = seconds_between("started_at", "completed_at")
     return df.withColumn("multiple", F.when((F.col("duration_seconds") > 0) & (took > 0), F.col("duration_seconds") / took))
 

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
@@ -21,3 +21,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-calls-"))
         base = _LOCAL[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once; who reads them again does not run again what made them."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

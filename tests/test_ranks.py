@@ -47,6 +47,30 @@ def test_no_range_is_sorted_that_is_too_large(spark):
     assert len(asked) == 7 and all(r["count"] == 3 for r in asked)
 
 
+@pytest.mark.parametrize("bound", [None, 100])
+def test_values_are_made_once(spark, bound):
+    """Whatever makes the values, a join of two large tables, say, does not run again for each step."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(2000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v")).mapInArrow(counted, "k long, v double")
+    got = sorted(tuple(r) for r in T.quantiles(df, ["k"], "v", [0.5], bound=bound).collect())
+    assert got == [(0, 999.0), (1, 1000.0), (2, 999.5)] and made.value == 2000
+
+
+def test_multiples_have_one_plan_at_all_sizes(spark):
+    """A broadcast of small sides would make what is shuffled jump when they grow."""
+    call, at = F.col("id").cast("string").alias("call_id"), lambda s: F.timestamp_seconds(F.lit(s))
+    results = spark.range(1).select(call, at(0).alias("started_at"), at(2).alias("completed_at"))
+    out = T.multiples(results, spark.range(1).select(call, F.lit(50.0).alias("duration_seconds")))
+    assert out.first()["multiple"] == 25.0
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sketches_within_their_bound(spark):
     """Rank errors, also of sketches merged over windows, and as the state of a stream."""
     rng = random.Random(2)
