@@ -9,7 +9,7 @@ from ..functions import seconds_between
 from ..operators import fleet as T
 from ..operators import sketches as K
 from ..operators.delivery import KEY
-from ..shared import shared_folder
+from ..shared import kept, shared_folder
 from ..streaming.keyed import KeyedTable
 from . import adapters as D
 
@@ -53,6 +53,7 @@ def looked_up_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quantile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of a quarter and function, merged to those of a function: how many quarters and values, and whether each quantile's rank is within the bound of the exact one."""
     took = T.multiples(D.results(spark, sf_dir), D.references(spark, sf_dir)).withColumn("seconds", seconds_between("started_at", "completed_at"))
+    took = kept(took.select("function_id", "completed_at", "seconds", "multiple"), "took")  # joined once, read by sketches and by their check
     out = None
     for value, shares in (("seconds", K.LATENCY), ("multiple", K.MULTIPLE)):
         parts = K.sketched(took, ["function_id"], value, every="90 days", k=1024)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from callmetrics import streaming as S
 from callmetrics.operators import fleet as T
 from callmetrics.operators import sketches as K
+from callmetrics.plans import catalog
+
+from .conftest import SMALL
 
 PERCENTS = [0, 10, 50, 95, 99, 100]
 
@@ -71,6 +74,11 @@ def test_multiples_have_one_plan_at_all_sizes(spark):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sketches_read_the_joined_rows(spark):
+    plan = catalog.QUERIES["quantile_sketches"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "l_orderkey" not in plan
+
+
 def test_sketches_within_their_bound(spark):
     """Rank errors, also of sketches merged over windows, and as the state of a stream."""
     rng = random.Random(2)
