@@ -16,12 +16,16 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.delivery import latest
+
+def _last(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key by `order`. Rows are thinned before they are shuffled, so a key with many rows is no burden; they stay as Spark keeps them, not as structs."""
+    at = Window.partitionBy(*key).orderBy(*[F.desc_nulls_last(c) for c in order])
+    return rows.withColumn("_place", F.row_number().over(at)).filter("_place = 1").drop("_place")
 
 
 class CommitConflict(RuntimeError):
@@ -102,10 +106,10 @@ class KeyedTable:
         return name
 
     def append(self, batch: DataFrame, batch_id: int | str) -> bool:
-        """Adds a batch's last rows by key. A batch that is there already changes nothing, so a stream may run it again."""
+        """Adds a batch's rows as they are, with one shuffle: reads and compactions take the last of each key. A batch that is there already changes nothing, so a stream may run it again."""
         seen, folder = self.manifest(), None
         while str(batch_id) not in seen.deltas and not self._compacted(str(batch_id)):
-            folder = folder or self._write(latest(batch.select(*self.schema.names), self.key, self.order), f"delta-{uuid.uuid4().hex}")
+            folder = folder or self._write(batch, f"delta-{uuid.uuid4().hex}")
             try:
                 self._commit(seen, seen.base, seen.deltas | {str(batch_id): folder})
                 return True
@@ -195,10 +199,10 @@ class KeyedTable:
         deltas = [(i, f"{self.path}/{p}/_bucket={b}") for i, p in enumerate(m.deltas.values()) for b in sorted(self._folders(p)) if only is None or b in only]
         if not deltas:
             return rows  # compacted: a key once
-        number = F.create_map(*[x for i, p in enumerate(m.deltas.values()) for x in (F.lit(p), F.lit(i))])
+        number = F.create_map(*[x for i, p in enumerate(m.deltas.values()) for x in (F.lit(p.removeprefix("delta-")), F.lit(i))])
         read = self.spark.read.schema(self.schema).parquet(*[p for _, p in deltas])
-        newer = read.withColumn("_batch", number[F.regexp_extract(F.col("_metadata.file_path"), r"(delta-[0-9a-f]{32})", 1)])
-        return latest(rows.withColumn("_batch", F.lit(-1)).unionByName(newer), self.key, [*self.order, "_batch"]).select(*self.schema.names)
+        newer = read.withColumn("_batch", number[F.substring(F.substring_index(F.col("_metadata.file_path"), "/delta-", -1), 1, 32)])
+        return _last(rows.withColumn("_batch", F.lit(-1)).unionByName(newer), self.key, [*self.order, "_batch"]).select(*self.schema.names)
 
     def read(self, *, version: int | None = None) -> DataFrame:
         """The table, or a version of it that was not vacuumed."""

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from callmetrics.streaming.keyed import CommitConflict, KeyedTable
+from callmetrics.streaming.keyed import CommitConflict, KeyedTable, _last
 
 SCHEMA = "call_id string, function_id string, n int, at timestamp"
 
@@ -188,3 +188,29 @@ def test_objects_expire_and_are_fetched_from_the_archive(spark, tmp_path):
     archive = spark.createDataFrame([("c3.flac", b"old"), ("c4.flac", b"old")], "object_key string, content binary")
     found = with_fallback(spark.createDataFrame([(k,) for k in ("c1.flac", "c3.flac", "c5.flac")], "object_key string"), objects.read(), archive)
     assert {r["object_key"]: (r["content"] and bytes(r["content"]), r["error_code"]) for r in found.collect()} == {"c1.flac": (b"\x01", None), "c3.flac": (b"old", None), "c5.flac": (None, "OBJECT_MISSING")}
+
+
+def test_an_append_shuffles_once(spark, tmp_path):
+    """Rows go to their buckets as they are; what is the last of a key is seen by reads and compactions."""
+    t = table(spark, tmp_path)
+    batch = rows(spark, *[("a", "f", n) for n in range(5)], ("b", "f", 1), (None, "f", 2), (None, "f", 1))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("append", "append")
+    t.append(batch, 0)
+    spark.sparkContext.setJobGroup("other", "other")
+    stages = {s for j in tracker.getJobIdsForGroup("append") for s in tracker.getJobInfo(j).stageIds}
+    run = [s for s in stages if (i := tracker.getStageInfo(s)) and i.numCompletedTasks]
+    assert len(run) == 2  # rows to the shuffle, and from it to files
+    want = sorted([(None, "f", 2), ("a", "f", 4), ("b", "f", 1)], key=repr)
+    assert contents(t.read()) == want
+    t.compact()
+    assert contents(t.read()) == want and spark.read.parquet(*[f"{t.path}/{p}" for p in t.manifest().base.values()]).count() == 3
+
+
+def test_the_last_row_of_a_key(spark):
+    """Nulls come first in the order, and the later column decides among equals; a key with many rows is thinned before the shuffle."""
+    df = spark.createDataFrame([("a", None, 9), ("a", 1, 1), ("a", 1, 2), (None, None, None), (None, None, 3), ("n", None, None)], "k string, x int, y int")
+    out = _last(df, ["k"], ["x", "y"])
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("a", 1, 2), (None, None, 3), ("n", None, None)], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Partial" in plan[plan.rindex("Exchange") :]
